@@ -1,0 +1,6 @@
+"""All registered queries of the news operators, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
