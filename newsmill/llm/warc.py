@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import os
 from collections.abc import Iterator
@@ -58,7 +59,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("key", "url", "payload", "n_bytes", "digest", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("least")).alias("refers_to"))
 
 
-def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write one WARC/1.1 record per row of ``with_revisits``, a file per task.
 
     Spark's own text writer is used, with the two line ends that close a record
@@ -83,18 +84,20 @@ def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") ->
         F.lit(CRLF),
         one,
     )
-    records.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    records.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
 
 def _open(path: str):
     """A readable file of a local or shared path, or of any store pyarrow knows."""
     parts = urlparse(path)
     if parts.scheme in ("", "file"):
-        return open(unquote(parts.path) if parts.scheme else path, "rb")
-    from pyarrow import fs
+        file = open(unquote(parts.path) if parts.scheme else path, "rb")
+    else:
+        from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(inner, buffer_size=1 << 20)
+        store, inner = fs.FileSystem.from_uri(path)
+        file = store.open_input_stream(inner, buffer_size=1 << 20, compression=None)
+    return gzip.open(file) if path.endswith(".gz") else file
 
 
 def _listed(path: str) -> list[tuple[str, int]]:
