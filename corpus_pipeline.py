@@ -1,12 +1,39 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators.
+
+Every stage takes (spark, docs, sf_dir), works on all documents that the stage
+before kept, and returns the columns of ``documents``; the last returns the
+packed sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsmill.llm import packing, secrets
+from newsmill.llm import decontaminate, language, near_duplicates, packing, secrets
 from newsmill.llm._common import staged, table
 
+#: Least share of the best language of a text that is kept.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go: those without a letter, and
+    those whose best language has a share under LEAST_SCORE. Null texts go."""
+    names, p = language.learn(docs.where(language.remainder(4) != 2))
+    told = language.classify(docs, names, p, keep=docs.columns)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    return near_duplicates.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
+    return found.where(F.size("__hits") == 0).select(docs.columns)
+
 
 def clean_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked in the text; every document stays."""
@@ -18,9 +45,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("secrets", clean_secrets), ("packing", pack)]
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicate),
+    ("decontamination", decontaminated),
+    ("secret_scan", clean_secrets),
+    ("packing", pack),
+]
 
-#: Tokenizing, banding and language scores are beyond SQL; tests use brute force.
+#: Segmentation sums, banding and tokenizing are beyond SQL; the tests compare
+#: the stages with brute force.
 ORACLE_SQL = None
 
 

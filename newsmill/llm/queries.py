@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from newsmill.llm import fingerprints, packing, secrets, url_filters, warc
+from newsmill.llm import decontaminate, fingerprints, language, language_model, near_duplicates, packing, secrets, url_filters, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_warc": warc.op3_warc,
+    "op4_gated_lm": language_model.op4_gated_lm,
+    "op5_ngram_jaccard_join": near_duplicates.op5_ngram_jaccard_join,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_packing": packing.op8_packing,
+    "op10_language_id": language.op10_language_id,
 }
 
 SQL = {
