@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,8 +136,6 @@ def simhash(c: Column) -> Column:
     """64-bit map of word trigrams: one bit for each, by its hash modulo 64. A
     vectorized Python function: folding characters with SQL's higher-order
     functions took thirty times as long on whole documents."""
-    import pandas as pd
-
     def one(text: str) -> int:
         words = re.sub("[^a-z0-9 ]", "", (text or "").lower()).split()
         out = 0
