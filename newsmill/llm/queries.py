@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import decontaminate, fingerprints, language, language_model, near_duplicates, packing, secrets, url_filters, warc
+from newsmill.llm import decontaminate, fingerprints, language, language_model, near_duplicates, packing, secrets, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_packing": packing.op8_packing,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language_id": language.op10_language_id,
 }
 
