@@ -15,8 +15,17 @@ from newsmill.sources import items as src
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 c = F.col
-NOW = F.lit(src.AS_OF).cast("timestamp")
-AGE = sc.seconds(NOW, c("published"))
+
+
+def now():
+    return F.lit(src.AS_OF).cast("timestamp")
+
+
+def age():
+    """Seconds since an item was published."""
+    return sc.seconds(now(), c("published"))
+
+
 T = f"TIMESTAMP '{src.AS_OF}'"
 AGE_SQL = f"(epoch({T}) - epoch(published))"
 WITH = "WITH RECURSIVE " + src.ITEMS_SQL
@@ -82,26 +91,26 @@ ids = lambda df, *more: df.select("id", *more)
 
 # scans
 on_items("scan_items", "SELECT id FROM items WHERE NOT read ORDER BY published DESC, pos LIMIT 100")(lambda i: ids(i.where(~c("read")).orderBy(F.desc("published"), "pos").limit(100)))
-on_items("scan_since", f"SELECT id FROM items WHERE published > {T} - INTERVAL 6 HOUR")(lambda i: ids(i.where(c("published") > NOW - F.expr("INTERVAL 6 HOURS"))))
+on_items("scan_since", f"SELECT id FROM items WHERE published > {T} - INTERVAL 6 HOUR")(lambda i: ids(i.where(c("published") > now() - F.expr("INTERVAL 6 HOURS"))))
 on_both("scan_needing_embedding", "SELECT id FROM items ANTI JOIN vec ON vid = id ORDER BY fetched, pos LIMIT 100")(lambda i, v: ids(i.join(v, "id", "left_anti").orderBy("fetched", "pos").limit(100)))
 on_both("lookup_embedding", "SELECT vid AS id, len(embedding) AS n FROM vec WHERE vid = '17'")(lambda i, v: v.where("id = '17'").select("id", F.size("embedding").cast("bigint").alias("n")))
 on_both("lookup_embeddings", "SELECT vid AS id, len(embedding) AS n FROM vec SEMI JOIN (SELECT id FROM items WHERE saved) s ON s.id = vid")(lambda i, v: v.join(i.where("saved").select("id"), "id", "left_semi").select("id", F.size("embedding").cast("bigint").alias("n")))
-on_both("scan_with_embeddings", f"SELECT id FROM items SEMI JOIN vec ON vid = id WHERE published > {T} - INTERVAL 1 DAY ORDER BY published DESC, pos LIMIT 500")(lambda i, v: ids(i.join(v.select("id"), "id", "left_semi").where(c("published") > NOW - F.expr("INTERVAL 1 DAY")).orderBy(F.desc("published"), "pos").limit(500)))
+on_both("scan_with_embeddings", f"SELECT id FROM items SEMI JOIN vec ON vid = id WHERE published > {T} - INTERVAL 1 DAY ORDER BY published DESC, pos LIMIT 500")(lambda i, v: ids(i.join(v.select("id"), "id", "left_semi").where(c("published") > now() - F.expr("INTERVAL 1 DAY")).orderBy(F.desc("published"), "pos").limit(500)))
 on_both("search_pool", "SELECT id, vid IS NOT NULL AS has_embedding FROM (SELECT * FROM items ORDER BY published DESC, pos LIMIT 10000) LEFT JOIN vec ON vid = id")(lambda i, v: i.orderBy(F.desc("published"), "pos").limit(10000).join(v, "id", "left").select("id", c("embedding").isNotNull().alias("has_embedding")))
 
 # filters
-on_items("filter_by_age", f"SELECT id FROM items WHERE published > {T} - INTERVAL 24 HOUR")(lambda i: ids(i.where(c("published") > NOW - F.expr("INTERVAL 24 HOURS"))))
+on_items("filter_by_age", f"SELECT id FROM items WHERE published > {T} - INTERVAL 24 HOUR")(lambda i: ids(i.where(c("published") > now() - F.expr("INTERVAL 24 HOURS"))))
 on_items("filter_by_source", "SELECT id FROM items WHERE source_name IN ('src1', 'src7')")(lambda i: ids(i.where(c("source_name").isin("src1", "src7"))))
-on_items("filter_unread", f"SELECT id FROM items WHERE published > {T} - INTERVAL 1 HOUR AND NOT read")(lambda i: ids(i.where((c("published") > NOW - F.expr("INTERVAL 1 HOUR")) & ~c("read"))))
-on_items("select_time", f"SELECT id FROM items WHERE {AGE_SQL} BETWEEN 3600 AND 86400")(lambda i: ids(i.where((AGE >= 3600) & (AGE <= 86400))))
+on_items("filter_unread", f"SELECT id FROM items WHERE published > {T} - INTERVAL 1 HOUR AND NOT read")(lambda i: ids(i.where((c("published") > now() - F.expr("INTERVAL 1 HOUR")) & ~c("read"))))
+on_items("select_time", f"SELECT id FROM items WHERE {AGE_SQL} BETWEEN 3600 AND 86400")(lambda i: ids(i.where((age() >= 3600) & (age() <= 86400))))
 PRESETS = {"just_now": (0, 900), "past_hour": (0, 3600), "today": (0, 86400), "yesterday": (86400, 172800), "this_week": (0, 604800)}
 on_items("select_time_presets", " UNION ALL ".join(f"SELECT '{k}' AS preset, count(*) AS n FROM items WHERE {AGE_SQL} BETWEEN {a} AND {b}" for k, (a, b) in PRESETS.items()))(
-    lambda i: i.agg(*(F.count_if((AGE >= a) & (AGE <= b)).alias(k) for k, (a, b) in PRESETS.items())).unpivot([], list(PRESETS), "preset", "n")
+    lambda i: i.agg(*(F.count_if((age() >= a) & (age() <= b)).alias(k) for k, (a, b) in PRESETS.items())).unpivot([], list(PRESETS), "preset", "n")
 )
-on_items("select_and", f"SELECT id FROM items WHERE source_name = 'src3' AND {AGE_SQL} <= 86400")(lambda i: ids(i.where((c("source_name") == "src3") & (AGE <= 86400))))
-on_items("select_or", f"SELECT id FROM items WHERE source_name = 'src3' OR {AGE_SQL} <= 3600")(lambda i: ids(i.where((c("source_name") == "src3") | (AGE <= 3600))))
+on_items("select_and", f"SELECT id FROM items WHERE source_name = 'src3' AND {AGE_SQL} <= 86400")(lambda i: ids(i.where((c("source_name") == "src3") & (age() <= 86400))))
+on_items("select_or", f"SELECT id FROM items WHERE source_name = 'src3' OR {AGE_SQL} <= 3600")(lambda i: ids(i.where((c("source_name") == "src3") | (age() <= 3600))))
 on_items("select_not", "SELECT id FROM items WHERE NOT (source_name = 'src3')")(lambda i: ids(i.where(~(c("source_name") == "src3"))))
-on_items("recent_items", f"SELECT id FROM items WHERE published > {T} - INTERVAL 3 HOUR")(lambda i: ids(i.where(c("published") > NOW - F.expr("INTERVAL 3 HOURS"))))
+on_items("recent_items", f"SELECT id FROM items WHERE published > {T} - INTERVAL 3 HOUR")(lambda i: ids(i.where(c("published") > now() - F.expr("INTERVAL 3 HOURS"))))
 on_items("exclude_item", "SELECT id FROM items WHERE id <> '5'")(lambda i: ids(i.where("id <> '5'")))
 on_both("score_threshold", "SELECT vec_id, embedding[1] AS score FROM embeddings WHERE embedding[1] >= 0.1")(lambda i, v: v.select(c("id").cast("bigint").alias("vec_id"), c("embedding")[0].alias("score")).where("score >= 0.1"))
 on_items("ad_filter", f"SELECT id, coalesce(regexp_matches(t, '(?i)^sponsored:|\\d+%\\s*off') OR pos % 9 = 4, false) AS blocked FROM (SELECT id, pos, CASE pos % 9 WHEN 1 THEN 'Sponsored: ' || title WHEN 2 THEN title || ' 50% off' WHEN 4 THEN '' ELSE 'x' END AS t FROM items)")(
@@ -143,16 +152,16 @@ on_rows("source_abbrev", "name string", "('Reuters'), ('Hacker News Daily'), ('V
 on_rows("derive_category", "name string, kind string", "('r/golang', 'rss'), ('arXiv cs', 'rss'), ('SEC EDGAR', 'rss'), ('USGS', 'api'), ('Techmeme', 'rss'), ('Mashable', 'rss'), ('Front', 'hn'), ('Paper', 'rss')", "SELECT name, CASE WHEN kind = 'hn' THEN 'tech' ELSE map {'r/golang': 'reddit', 'arXiv cs': 'arxiv', 'SEC EDGAR': 'sec', 'USGS': 'events', 'Techmeme': 'aggregator', 'Mashable': 'viral', 'Paper': 'rss'}[name] END AS category FROM t")(lambda t: t.select("name", tx.derive_category(c("name"), c("kind")).alias("category")))
 on_rows("extract_probability", "s string", "('about 67% now'), ('150% or 20%'), ('none'), ('5 percent'), ('0%')", "SELECT s, coalesce(list_filter([x::BIGINT FOR x IN regexp_extract_all(s, '([0-9]+)%', 1)], lambda x: x <= 100)[1], -1)::INT AS p FROM t")(lambda t: t.select("s", tx.extract_probability(c("s")).alias("p")))
 on_rows("parse_first_price", "s string", "('[0.25, 0.75]'), ('[\"0.4\",\"0.6\"]'), ('bad'), ('[]')", r"""SELECT s, coalesce(TRY_CAST(regexp_extract(s, '^\s*\[\s*"?(-?[0-9]+(\.[0-9]+)?)"?', 1) AS DOUBLE), 0.5) AS p FROM t""")(lambda t: t.select("s", tx.parse_first_price(c("s")).alias("p")))
-on_items("is_breaking", f"SELECT pos, {AGE_SQL} / 60 <= 30 AND (source_type = 'de' OR regexp_matches(lower(title), 'breaking|just in|urgent|alert|developing')) AS b FROM items")(lambda i: i.select("pos", tx.is_breaking(c("title"), F.when(c("source_type") == "de", "wire").otherwise("x"), AGE / 60).alias("b")))
+on_items("is_breaking", f"SELECT pos, {AGE_SQL} / 60 <= 30 AND (source_type = 'de' OR regexp_matches(lower(title), 'breaking|just in|urgent|alert|developing')) AS b FROM items")(lambda i: i.select("pos", tx.is_breaking(c("title"), F.when(c("source_type") == "de", "wire").otherwise("x"), age() / 60).alias("b")))
 on_items("contains_word", "SELECT pos, regexp_matches(summary, '(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS b FROM items")(lambda i: i.select("pos", tx.contains_word(c("summary"), "the").alias("b")))
 on_items("slug_id", "SELECT pos, replace(lower(title), ' ', '-') AS t FROM items")(lambda i: i.select("pos", tx.slug_id(c("title")).alias("t")))
 on_items("item_id", "SELECT pos, substr(sha256(url), 1, 16) AS t FROM items")(lambda i: i.select("pos", tx.item_id(c("url")).alias("t")))
 on_items("fnv32a")(lambda i: i.select("pos", tx.fnv32a(c("url")).alias("h")))
 BAND = f"CASE WHEN {AGE_SQL} < 900 THEN 'Just Now' WHEN {AGE_SQL} < 3600 THEN 'Past Hour' WHEN {AGE_SQL} < 86400 THEN 'Today' WHEN {AGE_SQL} < 172800 THEN 'Yesterday' ELSE 'Older' END"
-on_items("time_band", f"SELECT pos, {BAND} AS band FROM items")(lambda i: i.select("pos", sc.time_band(AGE).alias("band")))
+on_items("time_band", f"SELECT pos, {BAND} AS band FROM items")(lambda i: i.select("pos", sc.time_band(age()).alias("band")))
 _w = lambda n, u: f"CAST(CAST(floor({AGE_SQL} / {n}) AS BIGINT) AS VARCHAR) || '{u}'"
-on_items("age_short", f"SELECT pos, CASE WHEN {AGE_SQL} < 60 THEN 'just now' WHEN {AGE_SQL} < 3600 THEN {_w(60, 'm ago')} WHEN {AGE_SQL} < 86400 THEN {_w(3600, 'h ago')} ELSE {_w(86400, 'd ago')} END AS t FROM items")(lambda i: i.select("pos", sc.age_short(AGE).alias("t")))
-on_items("age_weeks", f"SELECT pos, CASE WHEN {AGE_SQL} < 60 THEN 'now' WHEN {AGE_SQL} < 3600 THEN {_w(60, 'm')} WHEN {AGE_SQL} < 86400 THEN {_w(3600, 'h')} WHEN {AGE_SQL} < 604800 THEN {_w(86400, 'd')} ELSE {_w(604800, 'w')} END AS t FROM items")(lambda i: i.select("pos", sc.age_weeks(AGE).alias("t")))
+on_items("age_short", f"SELECT pos, CASE WHEN {AGE_SQL} < 60 THEN 'just now' WHEN {AGE_SQL} < 3600 THEN {_w(60, 'm ago')} WHEN {AGE_SQL} < 86400 THEN {_w(3600, 'h ago')} ELSE {_w(86400, 'd ago')} END AS t FROM items")(lambda i: i.select("pos", sc.age_short(age()).alias("t")))
+on_items("age_weeks", f"SELECT pos, CASE WHEN {AGE_SQL} < 60 THEN 'now' WHEN {AGE_SQL} < 3600 THEN {_w(60, 'm')} WHEN {AGE_SQL} < 86400 THEN {_w(3600, 'h')} WHEN {AGE_SQL} < 604800 THEN {_w(86400, 'd')} ELSE {_w(604800, 'w')} END AS t FROM items")(lambda i: i.select("pos", sc.age_weeks(age()).alias("t")))
 on_log("dur_precision", "SELECT seq, CASE WHEN dur_ms >= 100 THEN 0 WHEN dur_ms >= 1 THEN 1 ELSE 2 END AS p FROM log")(lambda e: e.select("seq", sc.dur_precision(c("dur_ms")).alias("p")))
 on_log("clamp", "SELECT seq, least(greatest(dur_ms / 50, 0.0), 1.0) AS v FROM log")(lambda e: e.select("seq", sc.clamp(c("dur_ms") / 50).alias("v")))
 on_items("activity_bars", "SELECT source_name, CASE WHEN n >= 10 THEN 4 WHEN n >= 5 THEN 3 WHEN n >= 2 THEN 2 WHEN n >= 1 THEN 1 ELSE 0 END AS bars FROM (SELECT source_name, count(*) AS n FROM items GROUP BY 1)")(lambda i: i.groupBy("source_name").agg(sc.activity_bars(F.count("*")).alias("bars")))
@@ -166,13 +175,13 @@ on_both("count_needing_embedding", "SELECT count(*) AS n FROM items ANTI JOIN ve
 on_both("embedding_coverage", "SELECT round(100.0 * count(vid) / count(*), 1) AS pct FROM items LEFT JOIN vec ON vid = id")(lambda i, v: i.join(v, "id", "left").agg(F.round(F.try_divide(100.0 * F.count("embedding"), F.count("*")), 1).alias("pct")))
 on_items("source_histogram", "SELECT source_name, count(*) AS n FROM items GROUP BY 1")(lambda i: i.groupBy("source_name").agg(F.count("*").alias("n")))
 HOURS = {"h1": 1, "h6": 6, "h24": 24, "d7": 168, "d30": 720}
-on_items("age_histogram", "SELECT " + ", ".join(f"count_if({AGE_SQL} < {h * 3600}) AS {k}" for k, h in HOURS.items()) + " FROM items")(lambda i: i.agg(*(F.count_if(AGE < h * 3600).alias(k) for k, h in HOURS.items())))
-on_items("newest_oldest", f"SELECT CAST(min({AGE_SQL}) AS BIGINT) AS newest, CAST(max({AGE_SQL}) AS BIGINT) AS oldest FROM items")(lambda i: i.agg(F.min(AGE).cast("bigint").alias("newest"), F.max(AGE).cast("bigint").alias("oldest")))
-on_items("bogus_dates", f"SELECT count_if(year(published) < 2020) AS old, count_if(published > {T} - INTERVAL 100 MINUTE) AS future FROM items")(lambda i: i.agg(F.count_if(F.year("published") < 2020).alias("old"), F.count_if(c("published") > NOW - F.expr("INTERVAL 100 MINUTES")).alias("future")))
+on_items("age_histogram", "SELECT " + ", ".join(f"count_if({AGE_SQL} < {h * 3600}) AS {k}" for k, h in HOURS.items()) + " FROM items")(lambda i: i.agg(*(F.count_if(age() < h * 3600).alias(k) for k, h in HOURS.items())))
+on_items("newest_oldest", f"SELECT CAST(min({AGE_SQL}) AS BIGINT) AS newest, CAST(max({AGE_SQL}) AS BIGINT) AS oldest FROM items")(lambda i: i.agg(F.min(age()).cast("bigint").alias("newest"), F.max(age()).cast("bigint").alias("oldest")))
+on_items("bogus_dates", f"SELECT count_if(year(published) < 2020) AS old, count_if(published > {T} - INTERVAL 100 MINUTE) AS future FROM items")(lambda i: i.agg(F.count_if(F.year("published") < 2020).alias("old"), F.count_if(c("published") > now() - F.expr("INTERVAL 100 MINUTES")).alias("future")))
 on_items("source_count_distinct", "SELECT count(DISTINCT source_name) AS n FROM items")(lambda i: i.agg(F.count_distinct("source_name").alias("n")))
 on_items("unread_count", "SELECT count(*) AS n FROM items WHERE NOT read")(lambda i: i.where(~c("read")).agg(F.count("*").alias("n")))
 on_items("category_stats", "SELECT source_type AS category, sum(n) AS items FROM (SELECT source_type, source_name, count(*) AS n FROM items GROUP BY ALL) GROUP BY 1")(lambda i: i.groupBy("source_type", "source_name").agg(F.count("*").alias("n")).groupBy(c("source_type").alias("category")).agg(F.sum("n").cast("decimal(38,0)").alias("items")))
-on_items("source_activity", f"SELECT source_name, count_if({AGE_SQL} < 3600) AS recent, CAST(min({AGE_SQL}) AS BIGINT) AS last FROM items GROUP BY 1")(lambda i: i.groupBy("source_name").agg(F.count_if(AGE < 3600).alias("recent"), F.min(AGE).cast("bigint").alias("last")))
+on_items("source_activity", f"SELECT source_name, count_if({AGE_SQL} < 3600) AS recent, CAST(min({AGE_SQL}) AS BIGINT) AS last FROM items GROUP BY 1")(lambda i: i.groupBy("source_name").agg(F.count_if(age() < 3600).alias("recent"), F.min(age()).cast("bigint").alias("last")))
 on_log("event_kind_counts", "SELECT kind, count(*) AS n FROM (SELECT * FROM log ORDER BY seq DESC LIMIT 1024) GROUP BY 1")(lambda e: e.orderBy(F.desc("seq")).limit(1024).groupBy("kind").agg(F.count("*").alias("n")))
 on_log("pipeline_overlay_stats", "SELECT count_if(kind = 'click') AS clicks, count_if(kind = 'error') AS errors, count_if(kind = 'signup') AS signups, count(*) AS events FROM log")(lambda e: e.agg(F.count_if(c("kind") == "click").alias("clicks"), F.count_if(c("kind") == "error").alias("errors"), F.count_if(c("kind") == "signup").alias("signups"), F.count("*").alias("events")))
 on_log("rerank_buckets", "SELECT count_if(dur_ms >= 70) AS high, count_if(dur_ms <= 30) AS low, count_if(dur_ms > 30 AND dur_ms < 70) AS mid FROM log")(lambda e: e.agg(F.count_if(c("dur_ms") >= 70).alias("high"), F.count_if(c("dur_ms") <= 30).alias("low"), F.count_if((c("dur_ms") > 30) & (c("dur_ms") < 70)).alias("mid")))
@@ -184,8 +193,8 @@ on_items("limit_per_source", "SELECT id FROM items QUALIFY row_number() OVER (PA
 on_items("source_balance", "SELECT id FROM items QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY pos) <= 10")(lambda i: ids(sampling.first_per_group(i, c("source_name"), 10, ["pos"])))
 on_items("interleave_by_source", "SELECT id, round, turn FROM (SELECT id, row_number() OVER (PARTITION BY source_name ORDER BY pos) AS round, min(pos) OVER (PARTITION BY source_name) AS turn FROM items) WHERE round <= 7")(lambda i: ids(sampling.interleave(i, 7), c("round").cast("bigint").alias("round"), "turn"))
 SLOTS = {"Just Now": 10, "Past Hour": 20, "Today": 15, "Yesterday": 10, "Older": 5}
-_slots = F.create_map(*[F.lit(x) for kv in SLOTS.items() for x in kv])
-on_items("allocate_by_band", f"SELECT id FROM (SELECT *, {BAND} AS band FROM items) QUALIFY row_number() OVER (PARTITION BY band ORDER BY pos) <= map {SLOTS}[band]")(lambda i: ids(sampling.first_per_group(i, sc.time_band(AGE), F.try_element_at(_slots, c("_g")), ["pos"])))
+slots = lambda: F.create_map(*[F.lit(x) for kv in SLOTS.items() for x in kv])
+on_items("allocate_by_band", f"SELECT id FROM (SELECT *, {BAND} AS band FROM items) QUALIFY row_number() OVER (PARTITION BY band ORDER BY pos) <= map {SLOTS}[band]")(lambda i: ids(sampling.first_per_group(i, sc.time_band(age()), F.try_element_at(slots(), c("_g")), ["pos"])))
 on_log("tail_n", "SELECT seq, kind FROM log WHERE kind = 'click' ORDER BY seq DESC LIMIT 50")(lambda e: e.where("kind = 'click'").orderBy(F.desc("seq")).limit(50).select("seq", "kind"))
 on_log("ring_snapshot", "SELECT seq FROM log ORDER BY seq DESC LIMIT 1024")(lambda e: e.orderBy(F.desc("seq")).limit(1024).select("seq"))
 on_log("event_filter", "SELECT seq FROM log WHERE starts_with(kind, 'si') AND level IN ('warn', 'error')")(lambda e: e.where(c("kind").startswith("si") & (F.when(c("level") == "debug", 0).when(c("level") == "info", 1).when(c("level") == "warn", 2).when(c("level") == "error", 3).otherwise(0) >= 2)).select("seq"))
@@ -198,7 +207,7 @@ on_log("sparkline", "SELECT kind, [round(x / list_max(l), 6) FOR x IN l] AS line
 on_log("consecutive_errors", "SELECT qid AS source, count_if(kind = 'error' AND (good IS NULL OR seq > good)) AS errors FROM (SELECT *, max(CASE WHEN kind <> 'error' THEN seq END) OVER (PARTITION BY qid) AS good FROM log) GROUP BY 1")(lambda e: stories.error_streaks(e.select(c("qid").alias("source"), c("seq").alias("at"), (c("kind") != "error").alias("ok"))))
 on_items("sort_chronological", "SELECT id FROM items ORDER BY published DESC, pos LIMIT 300")(lambda i: ids(i.orderBy(F.desc("published"), "pos").limit(300)))
 on_items("evict_oldest", "SELECT id FROM items ORDER BY coalesce(published, fetched) DESC, pos LIMIT 400")(lambda i: ids(i.orderBy(F.desc(F.coalesce("published", "fetched")), "pos").limit(400)))
-on_items("prune_old", f"SELECT id FROM items WHERE published > {T} - INTERVAL 48 HOUR")(lambda i: ids(i.where(c("published") > NOW - F.expr("INTERVAL 48 HOURS"))))
+on_items("prune_old", f"SELECT id FROM items WHERE published > {T} - INTERVAL 48 HOUR")(lambda i: ids(i.where(c("published") > now() - F.expr("INTERVAL 48 HOURS"))))
 on_log("priority_queue", "SELECT seq FROM log ORDER BY dur_ms DESC, seq LIMIT 64")(lambda e: e.orderBy(F.desc("dur_ms"), "seq").limit(64).select("seq"))
 on_log("top_n_scores", "SELECT seq, dur_ms AS score FROM log ORDER BY dur_ms DESC, seq LIMIT 10")(lambda e: e.orderBy(F.desc("dur_ms"), "seq").limit(10).select("seq", c("dur_ms").alias("score")))
 
@@ -218,18 +227,18 @@ on_log("analysis_history", "SELECT qid, seq AS latest FROM log QUALIFY row_numbe
 
 # rankers
 R6 = lambda x: F.round(x, 6)
-on_items("rank_freshness", f"SELECT pos, round(pow(0.5, greatest({AGE_SQL}, 0) / 3600), 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.freshness(AGE)).alias("s")))
+on_items("rank_freshness", f"SELECT pos, round(pow(0.5, greatest({AGE_SQL}, 0) / 3600), 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.freshness(age())).alias("s")))
 on_items("rank_source_weight", "SELECT pos, least(coalesce(CASE source_name WHEN 'src1' THEN 3.0 WHEN 'src2' THEN 0.5 END, 1.0) / 2, 1.0)::DOUBLE AS s FROM items")(lambda i: i.select("pos", sc.source_weight(F.when(c("source_name") == "src1", 3.0).when(c("source_name") == "src2", 0.5)).alias("s")))
 on_items("rank_diversity", "SELECT pos, round(CASE WHEN n < 3 THEN 1.0 ELSE pow(0.7, n - 3) END, 6) AS s FROM (SELECT pos, row_number() OVER (PARTITION BY source_name ORDER BY pos) - 1 AS n FROM items)")(lambda i: i.select("pos", (F.row_number().over(W.partitionBy("source_name").orderBy("pos")) - 1).alias("n")).select("pos", R6(sc.diversity(c("n"))).alias("s")))
 on_items("rank_cluster", "SELECT pos, round(CASE WHEN n < 2 THEN 0.5 ELSE 0.5 + 0.5 * (1 - 1.0 / n) END, 6) AS s FROM (SELECT pos, pos % 6 AS n FROM items)")(lambda i: i.select("pos", R6(sc.cluster_score(c("pos") % 6)).alias("s")))
 on_items("rank_entity", "SELECT pos, round(CASE WHEN n = 0 THEN 0.5 ELSE 0.5 + 0.4 * (1 - 1.0 / (n + 1)) END, 6) AS s FROM (SELECT pos, pos % 6 AS n FROM items)")(lambda i: i.select("pos", R6(sc.entity_score(c("pos") % 6)).alias("s")))
-on_items("rank_breaking", f"SELECT pos, round(CASE WHEN {AGE_SQL} > 1800 THEN 0.5 WHEN pos % 2 = 0 THEN 0.7 + 0.3 * (1 - {AGE_SQL} / 1800) ELSE 0.5 END, 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.breaking_score(F.when(c("pos") % 2 == 0, "Just in: x").otherwise("x"), AGE)).alias("s")))
+on_items("rank_breaking", f"SELECT pos, round(CASE WHEN {AGE_SQL} > 1800 THEN 0.5 WHEN pos % 2 = 0 THEN 0.7 + 0.3 * (1 - {AGE_SQL} / 1800) ELSE 0.5 END, 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.breaking_score(F.when(c("pos") % 2 == 0, "Just in: x").otherwise("x"), age())).alias("s")))
 on_items("rank_read_state", "SELECT pos, CASE WHEN read THEN 0.7 ELSE 1.0 END::DOUBLE AS s FROM items")(lambda i: i.select("pos", sc.read_score(c("read")).alias("s")))
-_default = [(sc.freshness(AGE), 3.0), (sc.source_weight(F.lit(1.0)), 1.5), (sc.breaking_score(c("title"), AGE), 2.0), (sc.read_score(c("read")), 0.5)]
+default = lambda: [(sc.freshness(age()), 3.0), (sc.source_weight(F.lit(1.0)), 1.5), (sc.breaking_score(c("title"), age()), 2.0), (sc.read_score(c("read")), 0.5)]
 _dsql = f"(3 * pow(0.5, {AGE_SQL} / 3600) + 1.5 * 0.5 + 2 * 0.5 + 0.5 * CASE WHEN read THEN 0.7 ELSE 1.0 END) / 7.0"
-on_items("rank_composite", f"SELECT pos, round({_dsql}, 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.composite(_default)).alias("s")))
-on_items("rank_v4", f"SELECT pos, round({_dsql}, 6) AS s FROM items ORDER BY s DESC, pos LIMIT 50")(lambda i: i.select("pos", R6(sc.composite(_default)).alias("s")).orderBy(F.desc("s"), "pos").limit(50))
-on_items("media_score", f"SELECT pos, round((0.3 * 0.5 + 0.2 * 0.4 + 0.6 * 0.5 + 0.1 * 0.3 + 0.2 * 0.4) * (1 - (1 - 1 / (1 + {AGE_SQL} / 86400)) * 0.8), 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.media_score(AGE, F.lit(0.5), F.lit(0.4), F.lit(0.6), F.lit(0.1), F.lit(0.2))).alias("s")))
+on_items("rank_composite", f"SELECT pos, round({_dsql}, 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.composite(default())).alias("s")))
+on_items("rank_v4", f"SELECT pos, round({_dsql}, 6) AS s FROM items ORDER BY s DESC, pos LIMIT 50")(lambda i: i.select("pos", R6(sc.composite(default())).alias("s")).orderBy(F.desc("s"), "pos").limit(50))
+on_items("media_score", f"SELECT pos, round((0.3 * 0.5 + 0.2 * 0.4 + 0.6 * 0.5 + 0.1 * 0.3 + 0.2 * 0.4) * (1 - (1 - 1 / (1 + {AGE_SQL} / 86400)) * 0.8), 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.media_score(age(), F.lit(0.5), F.lit(0.4), F.lit(0.6), F.lit(0.1), F.lit(0.2))).alias("s")))
 on_log("glitch_intensity", "SELECT seq, round(CASE WHEN v < 0.4 THEN 0.0 ELSE (v - 0.4) / 0.6 END, 6) AS g FROM (SELECT seq, least(dur_ms / 100, 1.0) AS v FROM log)")(lambda e: e.select("seq", R6(sc.glitch(F.least(c("dur_ms") / 100, F.lit(1.0)), 0.4)).alias("g")))
 on_log("velocity_trend", "SELECT qid, CASE WHEN n > 5 THEN 'spiking' WHEN n > 1 THEN 'steady' ELSE 'fading' END AS trend FROM (SELECT qid, count(*) AS n FROM log GROUP BY 1)")(lambda e: e.groupBy("qid").agg(sc.trend(F.count("*")).alias("trend")))
 on_rows("story_status", "hit int, miss int", "(1, 0), (2, 0), (4, 0), (4, 1), (9, 2), (1, 3)", "SELECT hit, miss, CASE WHEN miss >= 2 THEN 'fading' WHEN hit >= 4 AND miss = 1 THEN 'sustained' WHEN hit >= 4 THEN 'persistent' WHEN hit >= 2 THEN 'developing' ELSE 'breaking' END AS status FROM t")(lambda t: t.select("hit", "miss", sc.story_status(c("hit"), c("miss")).alias("status")))
@@ -274,12 +283,12 @@ on_log("are_duplicates", "SELECT seq, (64 - bit_count(xor(seq, seq * 7))) / 64.0
 # samplers
 on_items("sample_round_robin", "SELECT id FROM (SELECT id, source_name, row_number() OVER (PARTITION BY source_name ORDER BY pos) AS rn FROM items) ORDER BY rn, source_name LIMIT 45")(lambda i: ids(sampling.round_robin(i, 45)))
 on_items("sample_recency", "SELECT id FROM items ORDER BY published DESC, pos LIMIT 60")(lambda i: ids(i.orderBy(F.desc("published"), "pos").limit(60)))
-on_items("sample_fair_recent", f"SELECT id FROM (SELECT * FROM items WHERE published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY pos) <= 4) ORDER BY published DESC, pos LIMIT 40")(lambda i: ids(sampling.fair_recent(i, NOW, 40, 4)))
+on_items("sample_fair_recent", f"SELECT id FROM (SELECT * FROM items WHERE published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY pos) <= 4) ORDER BY published DESC, pos LIMIT 40")(lambda i: ids(sampling.fair_recent(i, now(), 40, 4)))
 on_items("sample_throttled", "SELECT id FROM (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 3) ORDER BY published DESC, pos LIMIT 40")(lambda i: ids(sampling.throttled(i, 40)))
 on_items("sample_deficit_rr")(lambda i: ids(sampling.scheduled(i, {"src1": 2.0, "src2": 0.5}, 60), "place"))
 on_items("sample_weighted_rr")(lambda i: ids(sampling.scheduled(i, {"src1": 2.0, "src2": 0.5}, 60, "weighted"), "place"))
-on_log("due_sources", f"SELECT qid FROM log GROUP BY 1 HAVING max(t) < {T} - INTERVAL 15 HOUR")(lambda e: e.groupBy("qid").agg(F.max("t").alias("last")).where(c("last") < NOW - F.expr("INTERVAL 15 HOURS")).select("qid"))
-on_log("due_sources_backoff", f"SELECT qid FROM log GROUP BY 1 HAVING epoch({T}) - epoch(max(t)) >= 60 * (5 + least(count_if(kind = 'error') * count_if(kind = 'error'), 30))")(lambda e: e.groupBy("qid").agg(F.max("t").alias("last"), F.count_if(c("kind") == "error").alias("n")).where(sc.seconds(NOW, c("last")) >= 60 * (5 + F.least(c("n") * c("n"), F.lit(30)))).select("qid"))
+on_log("due_sources", f"SELECT qid FROM log GROUP BY 1 HAVING max(t) < {T} - INTERVAL 15 HOUR")(lambda e: e.groupBy("qid").agg(F.max("t").alias("last")).where(c("last") < now() - F.expr("INTERVAL 15 HOURS")).select("qid"))
+on_log("due_sources_backoff", f"SELECT qid FROM log GROUP BY 1 HAVING epoch({T}) - epoch(max(t)) >= 60 * (5 + least(count_if(kind = 'error') * count_if(kind = 'error'), 30))")(lambda e: e.groupBy("qid").agg(F.max("t").alias("last"), F.count_if(c("kind") == "error").alias("n")).where(sc.seconds(now(), c("last")) >= 60 * (5 + F.least(c("n") * c("n"), F.lit(30)))).select("qid"))
 
 # lexical search
 TOK = f"regexp_extract_all(translate(lower({{}}), '{lexical.ACCENTS}', '{lexical.PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
@@ -320,6 +329,6 @@ on_log("top_stories_update", "SELECT qid AS item_id, hit, 29 - last AS miss FROM
 on_items("cluster_assign")(lambda i: stories.assign_clusters(i.select("pos", F.unix_seconds("published").alias("at"), F.explode(F.slice(F.array_distinct(F.split(F.lower("title"), " ")), 1, 2)).alias("entity_id"))).groupBy("cluster").agg(F.count("*").alias("n")))
 
 # composed views
-on_items("feed_stats", f"SELECT source_name, count(*) AS n FROM (SELECT source_name FROM items WHERE NOT read AND published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 50) GROUP BY 1")(lambda i: sampling.limit_per_source(i.where(~c("read") & (c("published") > NOW - F.expr("INTERVAL 24 HOURS"))), 50).groupBy("source_name").agg(F.count("*").alias("n")))
-on_both("feed_view", None)(lambda i, v: ids(sampling.limit_per_source(dedup.semantic_dedup(i.where(~c("read") & (c("published") > NOW - F.expr("INTERVAL 24 HOURS"))), v, 0.85), 50)))
+on_items("feed_stats", f"SELECT source_name, count(*) AS n FROM (SELECT source_name FROM items WHERE NOT read AND published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 50) GROUP BY 1")(lambda i: sampling.limit_per_source(i.where(~c("read") & (c("published") > now() - F.expr("INTERVAL 24 HOURS"))), 50).groupBy("source_name").agg(F.count("*").alias("n")))
+on_both("feed_view", None)(lambda i, v: ids(sampling.limit_per_source(dedup.semantic_dedup(i.where(~c("read") & (c("published") > now() - F.expr("INTERVAL 24 HOURS"))), v, 0.85), 50)))
 on_both("search_hybrid", None)(lambda i, v: lexical.search(i, "tion with").join(ranked_by_query(i, v, "3"), "id").orderBy(F.desc_nulls_last("s"), "score").select("id", "score", R6(c("s")).alias("s")))
