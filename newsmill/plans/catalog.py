@@ -270,7 +270,7 @@ on_items("dedup_v5", "SELECT pos FROM r WHERE kept AND pos >= 0", f", k AS MATER
 on_both(
     "semantic_dedup",
     "SELECT pos FROM r WHERE kept AND pos >= 0",
-    f", p AS (SELECT a.vid::BIGINT AS a, b.vid::BIGINT AS b FROM vec a JOIN vec b ON a.vid::BIGINT < b.vid::BIGINT WHERE CAST({DOT.format('a.embedding', 'b.embedding')} AS FLOAT) > 0.35::FLOAT), e AS (SELECT a AS pos, 'p' || a || '-' || b AS key FROM p UNION ALL SELECT b, 'p' || a || '-' || b FROM p UNION ALL SELECT pos, 'u' || url FROM items), k AS MATERIALIZED (SELECT pos, list(key) AS keys FROM e GROUP BY 1)" + GREEDY,
+    f", p AS (SELECT a.vid::BIGINT AS a, b.vid::BIGINT AS b FROM vec a JOIN vec b ON a.vid::BIGINT < b.vid::BIGINT WHERE CAST({DOT.format('a.embedding', 'b.embedding')} AS FLOAT) > 0.35::FLOAT AND a.vid IN (SELECT id FROM items) AND b.vid IN (SELECT id FROM items)), e AS (SELECT a AS pos, 'p' || a || '-' || b AS key FROM p UNION ALL SELECT b, 'p' || a || '-' || b FROM p UNION ALL SELECT pos, 'u' || url FROM items), k AS MATERIALIZED (SELECT pos, list(key) AS keys FROM e GROUP BY 1)" + GREEDY,
 )(lambda i, v: dedup.semantic_dedup(i, v, 0.35).select("pos"))
 on_items("save_items", "SELECT pos FROM r WHERE kept AND pos >= 0", ", k AS MATERIALIZED (SELECT pos - 300 AS pos, ['i' || id, 'u' || url] AS keys FROM items WHERE pos >= 300), h AS (SELECT list('i' || id) || list('u' || url) AS have FROM items WHERE pos < 300), r AS (SELECT -1::BIGINT AS pos, (SELECT have FROM h) AS have, true AS kept UNION ALL SELECT k.pos, CASE WHEN list_has_any(r.have, k.keys) THEN r.have ELSE list_concat(r.have, k.keys) END, NOT list_has_any(r.have, k.keys) FROM r JOIN k ON k.pos = r.pos + 1)")(lambda i: dedup.save_items(i.where("pos >= 300"), i.where("pos < 300")).select((c("pos") - 300).alias("pos")))
 on_items("title_prefix_dedup", "SELECT id FROM items QUALIFY row_number() OVER (PARTITION BY substr(lower(title), 1, 40) ORDER BY pos) = 1 OR title = ''")(lambda i: ids(dedup.first_by_key(i, F.substring(F.lower("title"), 1, 40))))
