@@ -246,8 +246,9 @@ def test_token_counts_equal_whole_texts():
     assert got.tolist() == [len(encoder.encode_ordinary(t)) for t in texts]
 
 
-def test_suffix_dedup(docs, none):
-    got = rows_of(suffix_dedup.remove_repeats(docs, shard_bytes=3000))
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 3000, "bucket": 2000, "shard": 500}, {"chunk": 3000, "hot": 1}])
+def test_suffix_dedup(docs, none, sizes):
+    got = rows_of(suffix_dedup.remove_repeats(docs, **sizes))
     rows = [(-1 if i is None else i, (t or "").encode()) for i, t in [*enumerate(TEXTS), (None, "no id here at all")]]
     for i, raw in rows:
         earlier = {r[k : k + 50] for j, r in rows if j < i for k in range(len(r) - 49)}
@@ -262,6 +263,43 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("depth", [7, 50])
+def test_merged_transforms(depth):
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 99, n).astype(np.uint8) for n in (300, 40, 1, 500)]
+    texts.append(texts[0][50:250].copy())
+    sorted_ = [suffix_dedup.transform(t, depth) for t in texts]
+    read = lambda t, i, n: bytes(t[(i + np.arange(n)) % len(t)])
+    suffixes = [read(t, i, depth) for t, (order, _) in zip(texts, sorted_) for i in order]
+    order, common = suffix_dedup.merge([bwt for _, bwt in sorted_], depth)
+    merged = [suffixes[i] for i in order]
+    assert merged == sorted(suffixes) and sorted(order.tolist()) == list(range(len(suffixes)))
+    for a, b, c in zip(merged, merged[1:], common[1:]):
+        prefix = next((k for k in range(depth) if a[k] != b[k]), depth)
+        assert c == (depth if prefix == depth else prefix // 2 * 2)
+
+
+def test_pieces_cover_all_strings_once():
+    raw = [(t or "").encode() for t in TEXTS]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    start, n, least, text = suffix_dedup.pieces(data, offsets)
+    strings = sorted(int(s) + k for s, m in zip(start, n) for k in range(m))
+    assert strings == [int(o) + k for o, r in zip(offsets, raw) for k in range(len(r) - 49)]
+    of = {}
+    for s, m, g in zip(start, n, least):
+        for k in range(s, s + m):
+            assert of.setdefault(bytes(data[k : k + 50]), g) == g
+    assert len(set(least.tolist())) > len(of) / 40  # the hash spreads
+    assert n.max() <= suffix_dedup.MOST
+
+
+def test_equal_pieces_by_bytes_where_hashes_meet(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_hashing", lambda: (np.zeros(256, np.uint64), np.ones(5000, np.uint64), np.ones(5000, np.uint64)))
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    one, of = suffix_dedup._distinct(data, np.array([0, 3, 6]), np.array([3, 3, 3]))
+    assert len(one) == 2 and of[0] == of[2] != of[1]
+
+
 def test_language_id(docs, none):
     got = rows_of(language.identify(docs))
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (0, 1, 2, 11))
