@@ -32,7 +32,7 @@ LENGTH = 50
 #: Bytes of text in one row of the staged texts (or one longer text).
 CHUNK = 8 << 20
 #: Bytes of input text for each bucket; about a tenth of that is merged there.
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 #: Bytes of pieces whose suffixes are sorted at once.
 SHARD = 256 << 10
 #: A minimizer with more pieces than this has each of its strings dealt alone, by
@@ -40,6 +40,8 @@ SHARD = 256 << 10
 HOT = 50_000
 #: Most strings in one piece, and starts looked at at once.
 MOST, STEP = 64, 1 << 18
+#: Pieces whose bytes are compared at once.
+SOME = 1 << 13
 SMALLEST = -(2**63)
 NEVER = 2**63 - 1
 _ODD = 0x9E3779B97F4A7C15
@@ -119,15 +121,16 @@ def _distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
     two texts, by the bytes alone."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = _ranges(start, size)
-    own = np.repeat(np.arange(len(start)), size)
-    at = np.cumsum(size) - size
     numbers, powers, _ = _hashing()
-    h = np.add.reduceat(numbers[data[order]] * powers[order - start[own]], at)
+    h = np.empty(len(start), np.uint64)
+    some = [slice(a, a + SOME) for a in range(0, len(start), SOME)]
+    for k in some:
+        at = np.cumsum(size[k]) - size[k]
+        h[k] = np.add.reduceat(numbers[data[_ranges(start[k], size[k])]] * powers[_ranges(np.zeros_like(at), size[k])], at)
     h = h * np.uint64(_ODD) + size.astype(np.uint64)
     _, one, of = np.unique(h, return_index=True, return_inverse=True)
     other = one[of]
-    if (size == size[other]).all() and (data[order] == data[start[other][own] + order - start[own]]).all():
+    if (size == size[other]).all() and all((data[_ranges(start[k], size[k])] == data[_ranges(start[other[k]], size[k])]).all() for k in some):
         return one, of
     raw = np.empty(len(start), object)
     raw[:] = [data[s : s + k].tobytes() for s, k in zip(start.tolist(), size.tolist())]
@@ -207,6 +210,17 @@ def least_keys(data: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarr
     return out
 
 
+def _meets(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Whether a piece of different ones has its minimizer in common with another:
+    a piece without can't hold a string of any other."""
+    size = n + length - 1
+    _, _, least, text = pieces(data[_ranges(start, size)], np.cumsum(np.append(0, size)), length)
+    own = np.empty(len(n), np.uint64)
+    own[text] = least
+    _, of, many = np.unique(own, return_inverse=True, return_counts=True)
+    return many[of] > 1
+
+
 def _row(*values) -> pa.RecordBatch:
     names = ["chunk", "bucket", "a", "b", "c"][: len(values)]
     return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names)
