@@ -211,14 +211,14 @@ def least_keys(data: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarr
 
 
 def _meets(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Whether a piece of different ones has its minimizer in common with another:
-    a piece without can't hold a string of any other."""
+    """Whether a piece of different ones can hold a string of another: one with
+    its minimizer, of which some have more than one string."""
     size = n + length - 1
     _, _, least, text = pieces(data[_ranges(start, size)], np.cumsum(np.append(0, size)), length)
     own = np.empty(len(n), np.uint64)
     own[text] = least
     _, of, many = np.unique(own, return_inverse=True, return_counts=True)
-    return many[of] > 1
+    return ((many > 1) & (np.bincount(of, weights=n > 1) > 0))[of]
 
 
 def _row(*values) -> pa.RecordBatch:
@@ -358,7 +358,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, bu
             one, same = _distinct(data, start, n + length - 1)
             least = np.full(len(one), NEVER, np.int64)
             np.minimum.at(least, same, key)
-            found = least_keys(data, start[one], n[one], least, length, shard)
+            meet = _meets(data, start[one], n[one], length)
+            found = np.repeat(least, n[one])
+            if meet.any():
+                found[np.repeat(meet, n[one])] = least_keys(data, start[one[meet]], n[one[meet]], least[meet], length, shard)
             first = np.cumsum(n[one]) - n[one]
             at = np.cumsum([0, *map(len, sizes)])
             for k, number in enumerate(numbers):

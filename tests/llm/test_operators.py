@@ -329,3 +329,18 @@ def test_forward_sums_all_segmentations():
         for j in range(1, len(x) + 1):
             a[j] = sum(a[k] * chance.get(x[k:j], 0.0) for k in range(max(0, j - v.longest), j))
         assert abs(math.log(a[-1]) - g) < 1e-9
+
+
+def test_pieces_that_meet_no_other_are_left_out():
+    text = b"".join(b"%06d" % (k * 7919 % 10**6) for k in range(40))
+    data = np.frombuffer(text[:120] + text[1:121] + bytes(range(120)), np.uint8)
+    start, n = np.array([0, 120, 240]), np.array([20, 20, 20])
+    whole = suffix_dedup.pieces(data, np.array([0, 120, 240, 360]), 101)
+    assert len(whole[0]) >= 3
+    met = suffix_dedup._meets(data, whole[0], whole[1], 101)
+    held = [{bytes(data[s + k : s + k + 101]) for k in range(m)} for s, m in zip(whole[0], whole[1])]
+    for i, a in enumerate(held):
+        if any(a & b for j, b in enumerate(held) if j != i):
+            assert met[i]
+    assert not met[whole[3] == 2].any() and met.any()
+    assert not suffix_dedup._meets(data, start, np.ones(3, np.int64), 50).any()
