@@ -24,6 +24,10 @@ WORDS = 5
 BLOCK_ITEMS = 16
 #: Text of test items that one index holds; more items make further indexes.
 INDEX_BYTES = 16 << 20
+#: Postings that are looked at together, in whole passages.
+POSTINGS = 1 << 18
+#: Bytes of documents that are searched together, or one longer text.
+SEARCH_BYTES = 256 << 10
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
@@ -117,6 +121,29 @@ def _spread(at: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, row
 
 
+def _scored(index: Index, window: np.ndarray, tid: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(passage, item, score) of what reaches the threshold, of the terms of
+    whole passages."""
+    spot, row = _spread(index.block_at, tid)
+    n_blocks = int(index.block_no.max()) + 1
+    cell, inverse = np.unique(window[row] * n_blocks + index.block_no[spot], return_inverse=True)
+    kept = cell[np.bincount(inverse, weights=index.block_top[spot]) >= threshold]
+    if not len(kept):
+        return []
+    live = np.isin(window, np.unique(kept // n_blocks))
+    window, tid = window[live], tid[live]
+    spot, row = _spread(index.post_at, tid)
+    item = index.post_item[spot]
+    cell = window[row] * n_blocks + item // BLOCK_ITEMS
+    near = np.searchsorted(kept, cell)
+    near[near == len(kept)] = 0
+    inside = kept[near] == cell
+    pair, inverse = np.unique(window[row][inside] * len(index.ids) + item[inside], return_inverse=True)
+    score = np.bincount(inverse, weights=index.post_impact[spot][inside])
+    good = score >= threshold - 1e-9
+    return [(k // len(index.ids), k % len(index.ids), s) for k, s in zip(pair[good].tolist(), score[good].tolist())]
+
+
 def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(text, item, score) of all items that a passage of a text scores at
     ``threshold`` or more; the best passage counts.
@@ -144,29 +171,19 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
     keys, window = np.unique(window, return_inverse=True)
     live = np.bincount(window, weights=index.top[tid])[window] >= threshold
     window, tid = window[live], tid[live]
-    if not len(tid):
-        return []
-    spot, row = _spread(index.block_at, tid)
-    n_blocks = int(index.block_no.max()) + 1
-    cell, inverse = np.unique(window[row] * n_blocks + index.block_no[spot], return_inverse=True)
-    kept = cell[np.bincount(inverse, weights=index.block_top[spot]) >= threshold]
-    if not len(kept):
-        return []
-    live = np.isin(window, np.unique(kept // n_blocks))
-    window, tid = window[live], tid[live]
-    spot, row = _spread(index.post_at, tid)
-    item = index.post_item[spot]
-    cell = window[row] * n_blocks + item // BLOCK_ITEMS
-    near = np.searchsorted(kept, cell)
-    near[near == len(kept)] = 0
-    inside = kept[near] == cell
-    pair, inverse = np.unique(window[row][inside] * len(index.ids) + item[inside], return_inverse=True)
-    score = np.bincount(inverse, weights=index.post_impact[spot][inside])
-    good = score >= threshold - 1e-9
+    reach = np.cumsum(index.post_at[tid + 1] - index.post_at[tid])
     best: dict[tuple[int, int], float] = {}
-    for k, s in zip(pair[good].tolist(), score[good].tolist()):
-        where = (int(keys[k // len(index.ids)]) // per, k % len(index.ids))
-        best[where] = max(s, best.get(where, 0.0))
+    at = 0
+    while at < len(tid):
+        # up to POSTINGS, then back to where a passage starts, or one passage
+        to = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + POSTINGS, "right"))
+        if to < len(tid):
+            to = int(np.searchsorted(window, window[to]))
+            to = to if to > at else int(np.searchsorted(window, window[at], "right"))
+        for w, i, score in _scored(index, window[at:to], tid[at:to], threshold):
+            where = (int(keys[w]) // per, i)
+            best[where] = max(score, best.get(where, 0.0))
+        at = to
     return [(t, i, s) for (t, i), s in sorted(best.items())]
 
 
@@ -220,7 +237,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], answer_col
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("bm25", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
     def work(batches):
-        for part, data, offsets in chunks(batches, "__text"):
+        for part, data, offsets in chunks(batches, "__text", SEARCH_BYTES):
             hits: list[list[dict]] = [[] for _ in range(part.num_rows)]
             for one in sent:
                 for own, more in zip(hits, verified(one.value, data, offsets, threshold, overlap)):

@@ -344,3 +344,18 @@ def test_pieces_that_meet_no_other_are_left_out():
             assert met[i]
     assert not met[whole[3] == 2].any() and met.any()
     assert not suffix_dedup._meets(data, start, np.ones(3, np.int64), 50).any()
+
+
+@pytest.mark.parametrize("postings", [1, 40])
+def test_search_is_the_same_in_slices(monkeypatch, postings):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(str(k), " ".join(rng.choice(vocabulary, 12)), None) for k in range(50)]
+    texts = [" ".join(rng.choice(vocabulary, n)) + " " + items[k][1] for k, n in enumerate((0, 3, 90, 700))] + ["", "other"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    index = decontaminate.build(items)
+    whole = decontaminate.search(index, data, offsets, 0.3)
+    assert {(t, index.ids[i]) for t, i, _ in whole} >= {(k, str(k)) for k in range(4)}
+    monkeypatch.setattr(decontaminate, "POSTINGS", postings)
+    assert decontaminate.search(index, data, offsets, 0.3) == whole
