@@ -26,6 +26,8 @@ LEAST = 500
 SMALLEST = -(2**63)
 #: A shingle in more texts of a block than this is counted by matrix products.
 DENSE = 24
+#: Rows of a block that are compared at once.
+SOME = 256
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -68,10 +70,13 @@ class Bands:
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> np.ndarray:
-    """Boolean matrix of the pairs whose Jaccard similarity is reached; without
-    ``right`` of the sets among themselves, else of left against right."""
+    """Boolean matrix of the pairs whose Jaccard similarity is reached: of ``left``
+    by ``right``, or without ``right`` of the sets among themselves (a half is
+    counted, then mirrored). The counts of common shingles are the one matrix of
+    numbers; what follows goes by some rows at a time."""
     sets = left if right is None else left + right
-    n = len(sets)
+    n, n_left = len(sets), len(left)
+    first_column = 0 if right is None else n_left
     sizes = np.array([len(s) for s in sets], np.int64)
     value = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     member = np.repeat(np.arange(n), sizes)
@@ -79,14 +84,19 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, simila
     value, member = value[order], member[order]
     first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(value)))
-    common = np.zeros((n, n), np.float32)
+    width = n - first_column
+    common = np.zeros((n_left, width), np.float32)
     for c in range(2, DENSE + 1):
         at = first[count == c]
         if len(at):
             rows = member[at[:, None] + np.arange(c)]  # members ascend inside a shingle
             for i in range(c):
                 for j in range(i + 1, c):
-                    pair, times = np.unique(rows[:, i] * n + rows[:, j], return_counts=True)
+                    a, b = rows[:, i], rows[:, j]
+                    if right is not None:
+                        across = (a < n_left) & (b >= n_left)
+                        a, b = a[across], b[across]
+                    pair, times = np.unique(a * width + b - first_column, return_counts=True)
                     common.ravel()[pair] += times
     wide = np.flatnonzero(count > DENSE)
     for k in range(0, len(wide), 1024):
@@ -96,27 +106,51 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, simila
         column = np.repeat(np.arange(len(own)), reps)
         place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[own], reps)
         dense[member[place], column] = 1.0
-        common += np.triu(dense @ dense.T, 1)
-    total = sizes[:, None] + sizes[None, :]
-    linked = (common * (1 + similarity) >= similarity * total - 1e-3) & (common > 0)
-    linked = np.triu(linked, 1)
-    if right is not None:
-        linked[: len(left), : len(left)] = False
-        linked[len(left) :, len(left) :] = False
-    return linked | linked.T
-
-
-def roots(linked: np.ndarray) -> np.ndarray:
-    """The least index that each index is joined with."""
-    label = np.arange(len(linked))
+        for at in range(0, n_left, SOME):
+            common[at : at + SOME] += dense[at : min(at + SOME, n_left)] @ dense[first_column:].T
+    linked = np.zeros(common.shape, bool)
+    for at in range(0, n_left, SOME):
+        own = common[at : at + SOME]
+        total = sizes[at : at + len(own), None] + sizes[None, first_column:]
+        linked[at : at + SOME] = (own * (1 + similarity) >= similarity * total - 1e-3) & (own > 0)
+    if right is None:
+        linked = np.triu(linked, 1)
+        linked |= linked.T.copy()
+    return linked
+
+
+def roots(linked: np.ndarray, n: int) -> np.ndarray:
+    """The least index that each of n indexes is joined with; ``linked`` is square,
+    or of the first indexes by the last."""
+    n_left, width = linked.shape
+    label = np.arange(n)
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
-        new = new[new]
+        new = label.copy()
+        by_column = np.full(width, n)
+        for at in range(0, n_left, SOME):
+            own = linked[at : at + SOME]
+            rows = slice(at, at + len(own))
+            new[rows] = np.minimum(new[rows], np.where(own, label[None, n - width :], n).min(axis=1, initial=n))
+            by_column = np.minimum(by_column, np.where(own, label[rows, None], n).min(axis=0, initial=n))
+        new[n - width :] = np.minimum(new[n - width :], by_column)
+        new = np.minimum(new, new[new])
         if (new == label).all():
             return label
         label = new
 
 
+def linked_copies(linked: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """For each index the copies of all that it is linked with."""
+    n_left, width = linked.shape
+    out = np.zeros(len(copies), np.int64)
+    for at in range(0, n_left, SOME):
+        own = linked[at : at + SOME]
+        out[at : at + len(own)] += own @ copies[len(copies) - width :]
+        if width != len(copies):
+            out[n_left:] += copies[at : at + len(own)] @ own
+    return out
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """``doc_id, class_id, n_links, n_copies`` for each document.
 
@@ -186,7 +220,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
             right = [d for d in keys if own[d][0] != i]
             linked = links_between([own[d][2] for d in left], [own[d][2] for d in right] if i != j else None, similarity)
             copies = np.array([own[d][1] for d in keys], np.int64)
-            label, sums = roots(linked), linked @ copies if len(keys) else []
+            label, sums = roots(linked, len(keys)), linked_copies(linked, copies)
             out += [(d, keys[label[k]], int(sums[k])) for k, d in enumerate(keys)]
             if len(out) > 5000:
                 yield _links(out)

@@ -359,3 +359,24 @@ def test_search_is_the_same_in_slices(monkeypatch, postings):
     assert {(t, index.ids[i]) for t, i, _ in whole} >= {(k, str(k)) for k in range(4)}
     monkeypatch.setattr(decontaminate, "POSTINGS", postings)
     assert decontaminate.search(index, data, offsets, 0.3) == whole
+
+
+@pytest.mark.parametrize("some", [3, 256])
+def test_links_of_two_blocks(monkeypatch, some):
+    monkeypatch.setattr(near_duplicates, "SOME", some)
+    rng = np.random.default_rng(6)
+    kinds = [rng.choice(5000, 60, replace=False) for _ in range(4)]
+    sets = [np.unique(np.concatenate([kinds[k % 4][rng.random(60) < 0.95], rng.choice(5000, k % 5)]).astype(np.uint64)) for k in range(70)]
+    true = np.array([[i != j and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    copies = rng.integers(1, 9, 70)
+    whole = near_duplicates.links_between(sets, None, 0.8)
+    assert true.any() and (whole == true).all()
+    assert (near_duplicates.linked_copies(whole, copies) == true @ copies).all()
+    across = true.copy()
+    across[:30, :30] = across[30:, 30:] = False
+    part = near_duplicates.links_between(sets[:30], sets[30:], 0.8)
+    assert (part == true[:30, 30:]).all()
+    assert (near_duplicates.linked_copies(part, copies) == across @ copies).all()
+    assert (near_duplicates.roots(part, 70) == near_duplicates.roots(across, 70)).all()
+    near = [np.zeros(0, np.uint64)] * 2
+    assert not near_duplicates.links_between(near, near, 0.8).any() and near_duplicates.roots(np.zeros((2, 2), bool), 4).tolist() == [0, 1, 2, 3]
