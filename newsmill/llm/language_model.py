@@ -21,10 +21,9 @@ FREQUENT = 262_144
 WINDOW = 16
 STREAMS = 16
 RATE = 0.01
-#: Rounds of local training and averaging, and the share of the training
-#: documents (a hash of doc_id decides) that one round takes its steps on.
+#: Rounds of local training and averaging. A hash of doc_id deals the training
+#: documents to the rounds, so each is learnt from once.
 ROUNDS = 2
-ROUND_SHARE = 64
 SMOOTHING = 0.1
 SCORE_BYTES = 4 << 20
 END_HASH = np.uint64(0x656E64656E64656E)
@@ -329,6 +328,11 @@ def average_round(docs: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
+def of_round(training: DataFrame, k: int) -> DataFrame:
+    """The training documents that round k takes its steps on."""
+    return training.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ROUNDS)) == k)
+
+
 def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
     """Base and model score of each document; see the module and op4.
 
@@ -353,7 +357,7 @@ def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
     other_mass = (n - inside) + SMOOTHING * (v - types + 1)
     base_mass = n + SMOOTHING * (v + 1)
     for k in range(ROUNDS):
-        share = training.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(k)), F.lit(ROUND_SHARE)) == 0)
+        share = of_round(training, k)
         model.vector = average_round(share.select(text_column(share).alias("text")), model)
     by = np.argsort(words)
     sent = spark.sparkContext.broadcast((model, words[by], many[by]))
