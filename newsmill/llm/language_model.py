@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -14,8 +16,12 @@ from newsmill.llm.language import remainder
 
 HIDDEN = 32
 CLASSES = 32
-#: Words of a class; CLASSES times this many words are modelled one by one.
+#: Words of a class; CLASSES times this many words are modelled one by one. All
+#: others are dealt by hash to about the square root of their number of groups,
+#: which the state predicts; see ``groups_for``.
 PER_CLASS = 64
+#: Numbers that the softmax over the groups holds at once, about.
+HELD = 1 << 22
 #: Counts of this many most frequent tokens are sent to all executors.
 FREQUENT = 262_144
 WINDOW = 16
@@ -81,11 +87,21 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_column(docs).alias("text")).mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def groups_for(words: int) -> int:
+    """Groups for so many words that aren't modelled one by one."""
+    return max(1, math.isqrt(max(0, words - 1)) + 1)
+
+
 class Model:
-    """Parameters in one float32 vector, so that they can be averaged."""
+    """Parameters in one float32 vector, so that they can be averaged.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, other: int, seed: int = 11):
-        """words: hashes by falling count; other: occurrences of all others."""
+    Numbers from ``n`` on are groups of the words that aren't modelled one by
+    one: as input they have embeddings of their own, as target they are OTHER,
+    then the group given the state."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, other: int, seed: int = 11, rest: np.ndarray | None = None):
+        """words: hashes by falling count; other: occurrences of all others;
+        rest: the smoothed occurrences of each group of them."""
         size = CLASSES * PER_CLASS
         kept = [i for i, w in enumerate(words) if w != END_HASH][: size - 2]
         end = counts[words == END_HASH]
@@ -98,13 +114,16 @@ class Model:
         per = -(-self.n // CLASSES)
         self.cls, self.within = place // per, place % per
         self.width = per
-        self.shapes = {"Wx": (self.n, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Ww": (CLASSES, HIDDEN, per), "bw": (CLASSES, per)}
+        rest = np.ones(1) if rest is None else np.asarray(rest, float)
+        self.groups = len(rest)
+        self.shapes = {"Wx": (self.n + self.groups, 3 * HIDDEN), "Wo": (HIDDEN, self.groups), "bo": (self.groups,), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Ww": (CLASSES, HIDDEN, per), "bw": (CLASSES, per)}
         self.vector = np.zeros(sum(int(np.prod(s)) for s in self.shapes.values()), np.float32)
         p = self.parts()
         rng = np.random.default_rng(seed)
         p["Wx"][:] = rng.normal(0, 0.3, self.shapes["Wx"])
         p["U"][:] = rng.normal(0, HIDDEN**-0.5, self.shapes["U"])
         p["bw"][:] = -30.0
+        p["bo"][:] = np.log(rest / rest.sum())
         mass = np.bincount(self.cls, weights=weight, minlength=CLASSES)
         with np.errstate(divide="ignore"):
             p["bc"][:] = np.maximum(np.log(mass / mass.sum()), -30.0)
@@ -121,7 +140,7 @@ class Model:
         return out
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), OTHER, np.int32)
+        out = (self.n + h.view(np.int64) % self.groups).astype(np.int32)
         if len(self._sorted):
             at = np.searchsorted(self._sorted, h)
             at[at == len(self._sorted)] = 0
@@ -152,6 +171,9 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 def _output(model: Model, p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log-probability of the targets; with ``grad``, its gradients are
     added there and that of h is returned as well (for the sum of -log p)."""
+    group = y - model.n
+    far = np.flatnonzero(group >= 0)
+    y = np.where(group >= 0, OTHER, y)
     cls = model.cls[y]
     lc = _log_softmax(h @ p["Wc"] + p["bc"])
     rows = np.arange(len(y))
@@ -177,6 +199,18 @@ def _output(model: Model, p: dict, h: np.ndarray, y: np.ndarray, grad: dict | No
             grad["Ww"][c] += h[own].T @ d
             grad["bw"][c] += d.sum(axis=0)
             dh[own] += d @ p["Ww"][c].T
+    some = max(1, HELD // model.groups)
+    for at in range(0, len(far), some):
+        own = far[at : at + some]
+        lo = _log_softmax(h[own] @ p["Wo"] + p["bo"])
+        each = np.arange(len(own))
+        out[own] += lo[each, group[own]]
+        if grad is not None:
+            d = np.exp(lo)
+            d[each, group[own]] -= 1.0
+            grad["Wo"] += h[own].T @ d
+            grad["bo"] += d.sum(axis=0)
+            dh[own] += d @ p["Wo"].T
     return out if grad is None else (out, dh)
 
 
@@ -296,7 +330,7 @@ def train(model: Model, y: np.ndarray, offsets: np.ndarray, window: int = WINDOW
 def average_round(docs: DataFrame, model: Model) -> np.ndarray:
     """Each task trains its own copy on its texts; the mean of the copies, by
     tokens. Parameter blocks are summed in executors: only the mean, whose size
-    does not depend on the corpus, reaches the driver."""
+    grows with the root of the vocabulary, reaches the driver."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def fit(batches):
@@ -338,9 +372,10 @@ def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
 
     Token counts are over all training documents (known remainder other than 0).
     The model predicts the CLASSES * PER_CLASS - 2 most frequent words, the end
-    and "another word"; that one's probability is times its share of the counts
-    of all other words, smoothed like the base score, so the probabilities of
-    all tokens (unseen ones as one) sum to 1. Null ids: not held out, not learnt
+    and "another word"; for that one it predicts a group, and the group's
+    probability is times the word's share of the counts in its group, smoothed
+    like the base score, so the probabilities of all tokens (the unseen ones of
+    each group as one) sum to 1. Null ids: not held out, not learnt
     from. Null texts have the end token alone. Repeated rows keep a row each.
     Without training documents all tokens are unknown."""
     spark = docs.sparkSession
@@ -351,22 +386,28 @@ def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     words = np.array([r.h for r in top], np.int64).view(np.uint64)
     many = np.array([r.c for r in top], np.int64)
-    model = Model(words, many, n - int(many[: CLASSES * PER_CLASS].sum()) if len(many) else 0)
-    inside = int(many[np.isin(words, model.words) | (words == END_HASH)].sum()) if len(many) else 0
-    types = len(model.words) + int((words == END_HASH).any())
-    other_mass = (n - inside) + SMOOTHING * (v - types + 1)
+    modelled = words[words != END_HASH][: CLASSES * PER_CLASS - 2]
+    single = np.isin(words, modelled) | (words == END_HASH)
+    inside = int(many[single].sum())
+    groups_ = groups_for(v - int(single.sum()))
+    mass = np.full(groups_, SMOOTHING)
+    for r in counts.groupBy(F.pmod("h", F.lit(groups_)).alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        mass[r.g] += r.c + SMOOTHING * r.n
+    np.subtract.at(mass, words[single].view(np.int64) % groups_, many[single] + SMOOTHING)
+    mass = np.maximum(mass, SMOOTHING)
+    model = Model(words, many, n - inside, rest=mass)
     base_mass = n + SMOOTHING * (v + 1)
     for k in range(ROUNDS):
         share = of_round(training, k)
         model.vector = average_round(share.select(text_column(share).alias("text")), model)
     by = np.argsort(words)
-    sent = spark.sparkContext.broadcast((model, words[by], many[by]))
+    sent = spark.sparkContext.broadcast((model, words[by], many[by], np.log10(mass)))
     rows = docs.select("doc_id", F.coalesce(remainder(mod) == 0, F.lit(False)).alias("held_out"), text_column(docs).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     log = np.log(10.0)
 
     def score(batches):
-        own, keys, frequent = sent.value
+        own, keys, frequent, log_mass = sent.value
         number = TaskContext.get().partitionId() << 40
         for part, data, offsets in chunks(batches, "text", SCORE_BYTES):
             texts = part.num_rows
@@ -385,8 +426,10 @@ def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
             found = count[back] > 0
             known = np.bincount(text[found], minlength=texts)
             base = np.bincount(text[found], weights=np.log10((count[back[found]] + SMOOTHING) / base_mass), minlength=texts)
-            other = found & (y == OTHER)
-            value[other] += np.log10((count[back[other]] + SMOOTHING) / other_mass)
+            far = y >= own.n
+            value[far] -= log_mass[y[far] - own.n]
+            far &= found
+            value[far] += np.log10(count[back[far]] + SMOOTHING)
             total = np.bincount(text, weights=value, minlength=texts)
             pair, tf = np.unique(text[~found] * len(key) + back[~found], return_counts=True)
             cuts = np.searchsorted(pair, np.arange(texts + 1) * len(key))
@@ -399,7 +442,7 @@ def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
     rare = first.select("rid", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("rid", "x.h", "x.tf")
     c = F.coalesce(F.col("c"), F.lit(0))
     part = F.col("tf") * F.log10((c + SMOOTHING) / F.lit(float(base_mass)))
-    share = F.col("tf") * F.log10((c + SMOOTHING) / F.lit(float(other_mass)))
+    share = F.col("tf") * F.log10(c + SMOOTHING)  # the group's mass is taken off before
     more = rare.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known2"), F.sum(part).alias("base2"), F.sum(share).alias("total2"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     joined = first.drop("h", "tf").join(more, "rid", "left")
