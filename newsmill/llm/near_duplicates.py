@@ -168,11 +168,25 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
 
     Null texts are empty. A text of 1 to size-1 words has one shingle; texts
     without words are linked to equal texts only. Null ids work as the least id
-    and stay null; doc_id should be unique, repeated rows count as copies."""
+    and stay null; rows with a repeated id are documents of their own."""
+    signed, whole = _joined(docs, similarity, recall, rows, size)
+    null = lambda c: F.nullif(F.col(c), F.lit(SMALLEST))
+    return signed.select("key", "digest").join(whole.drop("first"), "digest").select(null("key").alias("doc_id"), null("class_id").alias("class_id"), "n_links", "n_copies")
+
+
+def _keys(docs: DataFrame) -> tuple:
+    """What names a row: its id, and the sum of its text, as ids repeat."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST)), F.unhex(F.md5(text_column(docs)))
+
+
+def _joined(docs: DataFrame, similarity: float, recall: float, rows: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Key and digest of each row, and of each digest its class; ``first`` (key,
+    digest, sum) is the least row of the class."""
     spark = docs.sparkSession
     tune(spark)
     n_bands = bands_for(similarity, recall, rows)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST)).alias("key"), text_column(docs).alias("text"))
+    key, total = _keys(docs)
+    source = docs.select(key.alias("key"), total.alias("sum"), text_column(docs).alias("text"))
 
     def sign(batches):
         bands = Bands(n_bands, rows)
@@ -183,12 +197,12 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
             found = [bands.of(g) if len(g) else np.zeros(0, np.int64) for g in sets]
             at = np.concatenate(([0], np.cumsum([len(f) for f in found])))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(digest, pa.binary()), pa.array([len(g) for g in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found), pa.int64()))],
-                ["key", "digest", "n", "bands"],
+                [part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array([len(g) for g in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found), pa.int64()))],
+                ["key", "sum", "digest", "n", "bands"],
             )
 
-    signed = staged(source.mapInArrow(sign, "key bigint, digest binary, n bigint, bands array<bigint>"), "signed")
-    classes = staged(signed.groupBy("digest").agg(F.min(F.struct("key", "n", "bands")).alias("m"), F.count("*").alias("copies")).select("digest", F.col("m.key").alias("rep"), F.col("m.n").alias("n"), "copies", F.col("m.bands").alias("bands")), "classes")
+    signed = staged(source.mapInArrow(sign, "key bigint, sum binary, digest binary, n bigint, bands array<bigint>"), "signed")
+    classes = staged(signed.groupBy("digest").agg(F.min(F.struct("key", "sum", "n", "bands")).alias("m"), F.count("*").alias("copies")).select("digest", F.col("m.key").alias("rep"), F.col("m.sum").alias("sum"), F.col("m.n").alias("n"), "copies", F.col("m.bands").alias("bands")), "classes")
 
     bucket = classes.select("digest", F.explode("bands").alias("band"))
     star = bucket.withColumn("least", F.min("digest").over(W.partitionBy("band"))).where("least <> digest")
@@ -198,7 +212,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     member = group.withColumnRenamed("node", "digest").join(classes.drop("bands"), "digest")
     blocks = member.groupBy("component").agg(F.ceil(F.sum(weight) / F.lit(BLOCK)).alias("blocks"))
     member = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
-    texts = member.select("component", "digest", "copies", "blocks", "block", F.col("rep").alias("key")).join(source, "key")
+    texts = member.select("component", "digest", "copies", "blocks", "block", F.col("rep").alias("key"), "sum").join(source, ["key", "sum"]).dropDuplicates(["key", "sum"])
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     dealt = texts.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "copies", "text")
     dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -213,8 +227,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
                 if d in own:
                     continue
                 grams = text_sets(np.frombuffer(r, np.uint8), np.array([0, len(r)]), size)[0]
-                if digest_of(grams, r) == d:  # else another text with the same id
-                    own[d] = (b, c, grams)
+                own[d] = (b, c, grams)
             keys = sorted(own, key=lambda d: (own[d][0], d))
             left = [d for d in keys if own[d][0] == i]
             right = [d for d in keys if own[d][0] != i]
@@ -230,12 +243,10 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     found = staged(dealt.mapInArrow(verify, "digest binary, root binary, links bigint"), "links")
     label = components(found.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    whole = classes.select("digest", "rep", "copies").join(degree, "digest", "left").join(label.withColumnsRenamed({"node": "digest", "component": "root"}), "digest", "left")
+    whole = classes.select("digest", "rep", "sum", "copies").join(degree, "digest", "left").join(label.withColumnsRenamed({"node": "digest", "component": "root"}), "digest", "left")
     whole = whole.withColumn("root", F.coalesce("root", "digest"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
-    whole = whole.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    null = lambda c: F.nullif(F.col(c), F.lit(SMALLEST))
-    return signed.select("key", "digest").join(whole, "digest").select(null("key").alias("doc_id"), null("class_id").alias("class_id"), "n_links", "n_copies")
+    least = whole.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("key"), "digest", "sum")).alias("first"))
+    return signed, whole.join(least, "root").select("digest", "first", F.col("first.key").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
 
 
 def _links(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
@@ -243,11 +254,12 @@ def _links(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each class that with the least
-    doc_id stays, whole and once."""
-    kept = join(docs).select(F.coalesce("class_id", F.lit(SMALLEST)).alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST)))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key", "text"]).select(docs.columns)
+    """The documents without near duplicates: of each class one row stays whole,
+    that with the least doc_id (null first), then the least digest."""
+    kept = _joined(docs, SIMILARITY, RECALL, ROWS, SIZE)[1].select(F.col("first.key").alias("__key"), F.col("first.sum").alias("__sum")).distinct()
+    key, total = _keys(docs)
+    keyed = docs.withColumns({"__key": key, "__sum": total})
+    return keyed.join(kept, ["__key", "__sum"], "left_semi").dropDuplicates(["__key", "__sum"]).select(docs.columns)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsmill.llm import language, language_model
+from newsmill.llm import language, language_model, near_duplicates
 
 
 def test_every_training_document_is_learnt_from(spark, monkeypatch):
@@ -75,3 +75,12 @@ def _kept(model) -> np.ndarray:
         out[at : at + size] = k in ("bc", "bw", "bo")
         at += size
     return out
+
+
+def test_keep_one_keeps_one_row_of_each_class(spark):
+    prose = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 9999, 80))
+    rows = [(None, prose(1)), (None, prose(1) + " more"), (None, prose(1)), (None, prose(2)), (4, prose(3)), (5, prose(4)), (5, prose(3) + " more"), (6, prose(4) + " more"), (6, prose(4) + " more"), (7, prose(2) + " more"), (None, ""), (None, None)]
+    got = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    heads = sorted((r.doc_id, (r.text or "").split(" ")[0]) if r.doc_id else (0, (r.text or "").split(" ")[0]) for r in got)
+    first = lambda seed: prose(seed).split(" ")[0]
+    assert heads == sorted([(0, ""), (0, first(1)), (0, first(2)), (4, first(3)), (5, first(4))])
