@@ -41,24 +41,40 @@ def error_streaks(log: DataFrame) -> DataFrame:
     return log.withColumn("good", F.max(F.when(F.col("ok"), F.col("at"))).over(last)).groupBy("source").agg(F.count_if(~F.col("ok") & (F.col("good").isNull() | (F.col("at") > F.col("good")))).alias("errors"))
 
 
+def parts_of(own: DataFrame, rounds: int = 64) -> DataFrame:
+    """``pos, part`` for each item of (pos, entity_id); the part is the least item
+    that entities join it with. Each round all items of a label take the least
+    label that one of them meets, then the label of that item (a jump)."""
+    from newsmill.operators.staging import staged
+
+    own = staged(own.select("pos", "entity_id").distinct())
+    label = staged(own.select("pos", F.col("pos").alias("part")).distinct())
+    for _ in range(rounds):
+        least = own.where("entity_id IS NOT NULL").join(label, "pos").groupBy("entity_id").agg(F.min("part").alias("least"))
+        near = own.join(least, "entity_id").join(label, "pos")
+        hook = staged(near.groupBy("part").agg(F.min("least").alias("to")))
+        if hook.where("part <> to").isEmpty():
+            return label
+        to = staged(label.join(hook, "part", "left").select("pos", F.coalesce("to", "part").alias("part")))
+        jump = to.select(F.col("pos").alias("part"), F.col("part").alias("far"))
+        label = staged(to.join(jump, "part").select("pos", F.col("far").alias("part")))
+    raise RuntimeError(f"parts of items did not settle in {rounds} rounds")
+
+
 def assign_clusters(entities: DataFrame, hours: int = 48) -> DataFrame:
     """``pos, cluster``: items (pos, at in seconds, entity_id) by position join
     the cluster that holds most of their entities, half of them at least and not
     idle for ``hours``; else they start one. Items that no entity joins never
-    meet, so each connected part of items and entities is one sequential pass;
-    parts are found by label propagation. Ties: the earliest cluster."""
+    meet, so each connected part of items and entities is one sequential pass.
+    Ties: the earliest cluster. An item whose only entity is null is alone."""
     import pandas as pd
 
     from newsmill.operators.staging import staged
 
     own = staged(entities.select("pos", "at", "entity_id"))
-    label = staged(own.groupBy("pos").agg(F.min("pos").alias("part")))
-    for _ in range(64):
-        by = own.join(label, "pos").groupBy("entity_id").agg(F.min("part").alias("least"))
-        new = staged(own.join(by, "entity_id").groupBy("pos").agg(F.min("least").alias("part")).join(label.withColumnRenamed("part", "old"), "pos"))
-        label = new.select("pos", "part")
-        if new.where("part <> old").isEmpty():
-            break
+    alone = own.groupBy("pos").agg(F.count("entity_id").alias("n")).where("n = 0").select("pos", F.col("pos").alias("cluster"))
+    own = own.where("entity_id IS NOT NULL")
+    label = parts_of(own)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[dict] = []
@@ -78,4 +94,4 @@ def assign_clusters(entities: DataFrame, hours: int = 48) -> DataFrame:
             out.append((pos, c["id"]))
         return pd.DataFrame(out, columns=["pos", "cluster"])
 
-    return own.join(label, "pos").groupBy("part").applyInPandas(run, "pos bigint, cluster bigint")
+    return own.join(label, "pos").groupBy("part").applyInPandas(run, "pos bigint, cluster bigint").union(alone)

@@ -326,7 +326,7 @@ on_items("alert_check", "SELECT 1 AS alert_id, pos FROM items WHERE contains(low
 on_log("top_stories_update", "SELECT qid AS item_id, hit, 29 - last AS miss FROM (SELECT qid, count(DISTINCT dayofmonth(t)) AS hit, max(dayofmonth(t)) - 1 AS last FROM log GROUP BY 1)")(
     lambda e: stories.lifecycle(e.select(c("qid").alias("item_id"), (F.dayofmonth("t") - 1).alias("run")), e.sparkSession.range(30).select(c("id").cast("int").alias("run"), F.timestamp_seconds(c("id") * 86400).alias("at"))).select("item_id", "hit", c("miss").cast("bigint").alias("miss"))
 )
-on_items("cluster_assign")(lambda i: stories.assign_clusters(i.select("pos", F.unix_seconds("published").alias("at"), F.explode(F.slice(F.array_distinct(F.split(F.lower("title"), " ")), 1, 2)).alias("entity_id"))).groupBy("cluster").agg(F.count("*").alias("n")))
+on_items("cluster_assign")(lambda i: stories.assign_clusters(i.select("pos", F.unix_seconds("published").alias("at")).join(entities.entities(i).select("pos", "entity_id"), "pos", "left")))
 
 # composed views
 on_items("feed_stats", f"SELECT source_name, count(*) AS n FROM (SELECT source_name FROM items WHERE NOT read AND published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 50) GROUP BY 1")(lambda i: sampling.limit_per_source(i.where(~c("read") & (c("published") > now() - F.expr("INTERVAL 24 HOURS"))), 50).groupBy("source_name").agg(F.count("*").alias("n")))
