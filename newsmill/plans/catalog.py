@@ -316,6 +316,21 @@ on_items("extract_attribution", "SELECT pos, CASE pos % 3 WHEN 0 THEN 'Reuters'
 on_items("extract_entities", "SELECT pos, 'ticker:T' || (pos % 3 = 0)::INT AS entity_id, 0.9::DOUBLE AS salience FROM items WHERE pos % 3 = 0 AND false UNION ALL SELECT pos, 'ticker:XOM', 0.9 FROM items WHERE pos % 4 = 1 UNION ALL SELECT pos, 'country:japan', 0.7 FROM items WHERE pos % 4 = 1")(
     lambda i: entities.entities(i.select("pos", F.when(c("pos") % 4 == 1, "$XOM in Tokyo").otherwise("").alias("title"), F.lit("").alias("summary"))).select("pos", "entity_id", c("salience").cast("double").alias("salience"))
 )
+# the extractors over whole titles and summaries; those above are on fixed texts
+TEXT = "concat_ws(' ', title, summary)"
+whole_text = lambda: F.concat_ws(" ", "title", "summary")
+_lit = lambda p: p.replace("'", "''")
+_TICKERS = r"(SELECT list_filter(l, lambda x, i: list_position(l, x) = i) FROM (SELECT regexp_extract_all(%s, '\$([A-Z]{1,5}(?:\.[A-Z])?)', 1) AS l))" % TEXT
+_COUNTRIES = "list_sort(list_filter([" + ", ".join("CASE WHEN regexp_matches(lower({}), '(^|[^a-z0-9])({})([^a-z0-9]|$)') THEN '{}' END".format(TEXT, "|".join(w.replace(".", r"\.") for w in words), key) for key, words in entities.COUNTRIES.items()) + "], lambda x: x IS NOT NULL))::VARCHAR[]"
+_CITED = "coalesce(" + ", ".join(f"nullif(regexp_extract({TEXT}, '{_lit(p)}', 1), '')" for p in entities.ATTRIBUTIONS) + ")"
+on_items("items_tickers", f"SELECT pos, {_TICKERS} AS t FROM items")(lambda i: i.select("pos", entities.tickers(whole_text()).alias("t")))
+on_items("items_countries", f"SELECT pos, {_COUNTRIES} AS t FROM items")(lambda i: i.select("pos", entities.countries(whole_text()).alias("t")))
+on_items("items_attribution", f"SELECT pos, {_CITED} AS a FROM items")(lambda i: i.select("pos", entities.attribution(whole_text()).alias("a")))
+on_items("items_entities", f"SELECT pos, 'ticker:' || unnest({_TICKERS}) AS entity_id, 0.9::DOUBLE AS salience FROM items UNION ALL SELECT pos, 'country:' || unnest({_COUNTRIES}), 0.7 FROM items UNION ALL SELECT pos, 'source:' || {_CITED}, 0.5 FROM items WHERE {_CITED} IS NOT NULL")(lambda i: entities.entities(i).select("pos", "entity_id", c("salience").cast("double").alias("salience")))
+on_items("items_with_entity", f"SELECT id FROM items WHERE list_contains({_TICKERS}, 'AAPL')")(lambda i: ids(i.join(entities.entities(i).where("entity_id = 'ticker:AAPL'").select("pos"), "pos", "left_semi")))
+_ad = lambda field, patterns, flags="": f"regexp_matches(coalesce({field}, ''), '{flags}{_lit('|'.join(f'(?:{p})' for p in patterns))}')"
+_ad_words = lambda field: "(" + " OR ".join(f"contains(lower(coalesce({field}, '')), '{_lit(w)}')" for w in rules.AD_WORDS) + ")"
+on_items("items_ads", f"SELECT id, trim(coalesce(title, '')) = '' OR {_ad('url', rules.AD_URLS)} OR {_ad('title', rules.AD_TITLES, '(?i)')} OR {_ad_words('title')} OR {_ad_words('summary')} OR " + " OR ".join(f"(coalesce(source_name, '') = '{k}' AND {_ad('url', v)})" for k, v in rules.AD_SOURCES.items()) + " AS blocked FROM items")(lambda i: i.select("id", rules.is_ad(c("title"), c("summary"), c("url"), c("source_name")).alias("blocked")))
 on_rows("extract_number", "s string", "('$1.5 billion'), ('2,500'), ('3 million'), ('none'), ('7 thousand')", "SELECT s, map {'$1.5 billion': 1.5e9, '2,500': 2500.0, '3 million': 3e6, 'none': 0.0, '7 thousand': 7000.0}[s]::DOUBLE AS v FROM t")(lambda t: t.select("s", entities.extract_number(c("s")).alias("v")))
 on_rows("detect_conflicts", "grp int, side int, kind string, text string, value string, speaker string", "(1, 1, 'number', 'a', '10 million', ''), (1, 2, 'number', 'b', '20 million', ''), (1, 2, 'number', 'c', '10.5 million', ''), (2, 1, 'attribution', 'd', 'x', 'P'), (2, 2, 'attribution', 'e', 'y', 'P'), (3, 1, 'denial', 'f', 'x', ''), (3, 2, 'quote', 'g', 'y', '')", "SELECT * FROM (VALUES (1, 'factual', 'a', 'b'), (2, 'framing', 'd', 'e'), (3, 'denial', 'f', 'g')) AS v(grp, kind, claim_a, claim_b)")(lambda t: entities.conflicts(t.withColumnRenamed("grp", "group")).withColumnRenamed("group", "grp"))
 on_rows("parse_magnitude", "title string", "('M 6.2 - 10 km N of X'), ('M -0.5 - Y'), ('Big one')", "SELECT title, CASE title WHEN 'M 6.2 - 10 km N of X' THEN 6.2 WHEN 'M -0.5 - Y' THEN -0.5 ELSE 0.0 END::DOUBLE AS m FROM t")(lambda t: t.select("title", rules.parse_magnitude(c("title")).alias("m")))

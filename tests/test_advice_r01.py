@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsmill.operators import entities, stories
@@ -27,3 +28,38 @@ def test_clusters_are_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "'en' AS lang", "'s' AS source", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.pos: r.cluster for r in catalog.QUERIES["cluster_assign"](spark, str(tmp_path)).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+NEWS = [
+    "Plain first line\nThen the U.S. and Beijing, said (Reuters), of $AAPL, $BRK.B and $AAPL",
+    "Panamericana\nneither chinas nor indiana; \u20ac5 and $ only",
+    "50% off in Tokyo, New Delhi\nnext",
+    "Quiet title\nact now: free webinar, according to Wall Street Journal",
+    "Save $50 today, citing sources",
+    "\nempty title, south korea",
+    None,
+]
+
+
+def news(spark, path, texts=NEWS):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("doc_id", "'en' AS lang", "'s' AS source", "text").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def both(spark, name, path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{path}/documents.parquet/*.parquet'" if path != SMALL else f"CREATE VIEW documents AS FROM '{path}/documents.parquet'")
+    df = catalog.QUERIES[name](spark, path)
+    names = sorted(df.columns)
+    got = sorted(map(repr, (tuple(r[k] for k in names) for r in df.collect())))
+    return got, sorted(map(repr, con.sql(catalog.SQL[name]).project(", ".join(names)).fetchall()))
+
+
+@pytest.mark.parametrize("name", ["items_tickers", "items_countries", "items_attribution", "items_entities", "items_with_entity", "items_ads"])
+def test_extractors_read_whole_texts(spark, tmp_path, name):
+    got, want = both(spark, name, news(spark, tmp_path))
+    assert got == want and len(set(got)) >= (1 if name == "items_with_entity" else 2)
+    got, want = both(spark, name, SMALL)
+    assert got == want
