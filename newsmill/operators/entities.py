@@ -97,6 +97,37 @@ def entities(items: DataFrame) -> DataFrame:
     return items.select("pos", F.explode(all_).alias("e")).select("pos", "e.*")
 
 
+# Patterns of claims. A speaker starts where a run of words does, or
+# where the last match ended: no later start fits if that doesn't.
+CLAIMS = {
+    "number": r"(\$?[\d,]+\.?\d*)\s*(billion|million|thousand|percent|%|people|deaths|cases|troops|dollars)",
+    "quote": r'"([^"]{10,200})"',
+    "attribution": r"(?id)(?:(?<![\w\s])|\G)([\w\s]+)\s+(said|says|claims?|denied|announced|confirmed|reported|stated)\s+(?:that\s+)?(.{10,100})",
+    "prediction": r"(?id)(will|expected to|forecast|predicted|projected)\s+(.{10,100})",
+}
+
+
+def extract_claims(items: DataFrame) -> DataFrame:
+    """``pos, kind, text, value, speaker, confidence``: numbers, quotes,
+    attributions, denials (attributions by "denied") and predictions of title and
+    summary. Repeated claims keep a row each."""
+    text = F.concat_ws(" ", "title", "summary")
+    all_of = lambda kind, k: F.regexp_extract_all(text, F.lit(CLAIMS[kind]), k)
+    found = lambda kind, value, speaker, confidence: lambda x: F.struct(F.lit(kind).alias("kind"), x["0"].alias("text"), value(x).alias("value"), speaker(x).alias("speaker"), F.lit(confidence).alias("confidence"))
+    nobody = lambda x: F.lit("")
+    zipped = lambda kind, n: F.arrays_zip(*[all_of(kind, k).alias(str(k)) for k in range(n + 1)])
+    said = zipped("attribution", 3)
+    speaker = lambda x: F.regexp_replace(x["1"], r"^\s+|\s+$", "")
+    claims = F.concat(
+        F.transform(zipped("number", 2), found("number", lambda x: F.concat(x["1"], F.lit(" "), x["2"]), nobody, 0.8)),
+        F.transform(zipped("quote", 1), found("quote", lambda x: x["1"], nobody, 0.9)),
+        F.transform(said, found("attribution", lambda x: x["3"], speaker, 0.7)),
+        F.transform(F.filter(said, lambda x: F.lower(x["2"]) == "denied"), found("denial", lambda x: x["3"], speaker, 0.8)),
+        F.transform(zipped("prediction", 2), found("prediction", lambda x: x["2"], nobody, 0.6)),
+    )
+    return items.select("pos", F.explode(claims).alias("c")).select("pos", "c.*")
+
+
 def extract_number(c: Column) -> Column:
     plain = F.regexp_replace(c, r"[$,]", "")
     low = F.lower(plain)
@@ -109,16 +140,29 @@ def numbers_conflict(a: Column, b: Column) -> Column:
     return F.coalesce((a != 0) & (b != 0) & (F.try_divide(F.abs(a - b), (a + b) / 2) > 0.2), F.lit(False))
 
 
-def conflicts(claims: DataFrame) -> DataFrame:
-    """Pairs of claims (group, side, kind, text, value, speaker) of two sides of
-    a group that contradict each other."""
-    a, b = claims.where("side = 1").alias("a"), claims.where("side = 2").alias("b")
-    kind = (
+def conflict_kind() -> Column:
+    """How the claims a and b contradict each other; null if they don't."""
+    return (
         F.when((F.col("a.kind") == "number") & (F.col("b.kind") == "number") & numbers_conflict(extract_number(F.col("a.value")), extract_number(F.col("b.value"))), "factual")
         .when((F.col("a.kind") == "denial") | (F.col("b.kind") == "denial"), "denial")
         .when((F.col("a.kind") == "attribution") & (F.col("b.kind") == "attribution") & (F.col("a.speaker") == F.col("b.speaker")) & (F.col("a.value") != F.col("b.value")), "framing")
     )
-    return a.join(b, F.col("a.group") == F.col("b.group")).select(F.col("a.group").alias("group"), kind.alias("kind"), F.col("a.text").alias("claim_a"), F.col("b.text").alias("claim_b")).where("kind IS NOT NULL")
 
 
-__all__ = ["attribution", "conflicts", "contains_word", "countries", "entities", "extract_number", "numbers_conflict", "tickers"]
+def conflicts(claims: DataFrame) -> DataFrame:
+    """Pairs of claims (group, side, kind, text, value, speaker) of two sides of
+    a group that contradict each other."""
+    a, b = claims.where("side = 1").alias("a"), claims.where("side = 2").alias("b")
+    return a.join(b, F.col("a.group") == F.col("b.group")).select(F.col("a.group").alias("group"), conflict_kind().alias("kind"), F.col("a.text").alias("claim_a"), F.col("b.text").alias("claim_b")).where("kind IS NOT NULL")
+
+
+def item_conflicts(items: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``cluster, pos_a, pos_b, kind, claim_a, claim_b``: claims of two items of a
+    cluster (pos, cluster) that contradict each other; the earlier item is a."""
+    claims = extract_claims(items).join(clusters, "pos")
+    a, b = claims.alias("a"), claims.alias("b")
+    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.pos") < F.col("b.pos")))
+    return pairs.select("a.cluster", F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), conflict_kind().alias("kind"), F.col("a.text").alias("claim_a"), F.col("b.text").alias("claim_b")).where("kind IS NOT NULL")
+
+
+__all__ = ["attribution", "conflicts", "contains_word", "countries", "entities", "extract_claims", "extract_number", "item_conflicts", "numbers_conflict", "tickers"]

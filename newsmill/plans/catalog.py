@@ -331,6 +331,10 @@ on_items("items_with_entity", f"SELECT id FROM items WHERE list_contains({_TICKE
 _ad = lambda field, patterns, flags="": f"regexp_matches(coalesce({field}, ''), '{flags}{_lit('|'.join(f'(?:{p})' for p in patterns))}')"
 _ad_words = lambda field: "(" + " OR ".join(f"contains(lower(coalesce({field}, '')), '{_lit(w)}')" for w in rules.AD_WORDS) + ")"
 on_items("items_ads", f"SELECT id, trim(coalesce(title, '')) = '' OR {_ad('url', rules.AD_URLS)} OR {_ad('title', rules.AD_TITLES, '(?i)')} OR {_ad_words('title')} OR {_ad_words('summary')} OR " + " OR ".join(f"(coalesce(source_name, '') = '{k}' AND {_ad('url', v)})" for k, v in rules.AD_SOURCES.items()) + " AS blocked FROM items")(lambda i: i.select("id", rules.is_ad(c("title"), c("summary"), c("url"), c("source_name")).alias("blocked")))
+_found = lambda kind, k: "regexp_extract_all({}, '{}', {})".format(TEXT, _lit(entities.CLAIMS[kind]).replace("(?id)", "(?i)").replace(r"(?:(?<![\w\s])|\G)", ""), k)
+_part = lambda kind, *ks: "(SELECT pos, " + ", ".join(f"unnest({_found(kind, k)}) AS g{k}" for k in ks) + " FROM items)"
+_SPEAKER = r"regexp_replace(g1, '^\s+|\s+$', '', 'g')"
+on_items("items_claims", f"SELECT pos, 'number' AS kind, g0 AS text, g1 || ' ' || g2 AS value, '' AS speaker FROM {_part('number', 0, 1, 2)} UNION ALL SELECT pos, 'quote', g0, g1, '' FROM {_part('quote', 0, 1)} UNION ALL SELECT pos, 'attribution', g0, g3, {_SPEAKER} FROM {_part('attribution', 0, 1, 2, 3)} UNION ALL SELECT pos, 'denial', g0, g3, {_SPEAKER} FROM {_part('attribution', 0, 1, 2, 3)} WHERE lower(g2) = 'denied' UNION ALL SELECT pos, 'prediction', g0, g2, '' FROM {_part('prediction', 0, 2)}")(lambda i: entities.extract_claims(i).drop("confidence"))
 on_rows("extract_number", "s string", "('$1.5 billion'), ('2,500'), ('3 million'), ('none'), ('7 thousand')", "SELECT s, map {'$1.5 billion': 1.5e9, '2,500': 2500.0, '3 million': 3e6, 'none': 0.0, '7 thousand': 7000.0}[s]::DOUBLE AS v FROM t")(lambda t: t.select("s", entities.extract_number(c("s")).alias("v")))
 on_rows("detect_conflicts", "grp int, side int, kind string, text string, value string, speaker string", "(1, 1, 'number', 'a', '10 million', ''), (1, 2, 'number', 'b', '20 million', ''), (1, 2, 'number', 'c', '10.5 million', ''), (2, 1, 'attribution', 'd', 'x', 'P'), (2, 2, 'attribution', 'e', 'y', 'P'), (3, 1, 'denial', 'f', 'x', ''), (3, 2, 'quote', 'g', 'y', '')", "SELECT * FROM (VALUES (1, 'factual', 'a', 'b'), (2, 'framing', 'd', 'e'), (3, 'denial', 'f', 'g')) AS v(grp, kind, claim_a, claim_b)")(lambda t: entities.conflicts(t.withColumnRenamed("grp", "group")).withColumnRenamed("group", "grp"))
 on_rows("parse_magnitude", "title string", "('M 6.2 - 10 km N of X'), ('M -0.5 - Y'), ('Big one')", "SELECT title, CASE title WHEN 'M 6.2 - 10 km N of X' THEN 6.2 WHEN 'M -0.5 - Y' THEN -0.5 ELSE 0.0 END::DOUBLE AS m FROM t")(lambda t: t.select("title", rules.parse_magnitude(c("title")).alias("m")))
@@ -341,7 +345,9 @@ on_items("alert_check", "SELECT 1 AS alert_id, pos FROM items WHERE contains(low
 on_log("top_stories_update", "SELECT qid AS item_id, hit, 29 - last AS miss FROM (SELECT qid, count(DISTINCT dayofmonth(t)) AS hit, max(dayofmonth(t)) - 1 AS last FROM log GROUP BY 1)")(
     lambda e: stories.lifecycle(e.select(c("qid").alias("item_id"), (F.dayofmonth("t") - 1).alias("run")), e.sparkSession.range(30).select(c("id").cast("int").alias("run"), F.timestamp_seconds(c("id") * 86400).alias("at"))).select("item_id", "hit", c("miss").cast("bigint").alias("miss"))
 )
-on_items("cluster_assign")(lambda i: stories.assign_clusters(i.select("pos", F.unix_seconds("published").alias("at")).join(entities.entities(i).select("pos", "entity_id"), "pos", "left")))
+item_clusters = lambda i: stories.assign_clusters(i.select("pos", F.unix_seconds("published").alias("at")).join(entities.entities(i).select("pos", "entity_id"), "pos", "left"))
+on_items("cluster_assign")(item_clusters)
+on_items("items_conflicts")(lambda i: entities.item_conflicts(i, item_clusters(i)))
 
 # composed views
 on_items("feed_stats", f"SELECT source_name, count(*) AS n FROM (SELECT source_name FROM items WHERE NOT read AND published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 50) GROUP BY 1")(lambda i: sampling.limit_per_source(i.where(~c("read") & (c("published") > now() - F.expr("INTERVAL 24 HOURS"))), 50).groupBy("source_name").agg(F.count("*").alias("n")))
