@@ -59,21 +59,86 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once; expressions that name it often would
+    grow with each level."""
+    return F.transform(F.array(value), f)[0]
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's attribute; empty where it has none."""
+    start = rf"""(?is)[\s"']{name}\s*=\s*"""
+    forms = (r'"([^"]*)"', r"'([^']*)'", r"""([^\s"'>]+)""")
+    return let(F.trim(F.concat(*[F.regexp_extract(tag, start + f, 1) for f in forms])), decoded)
+
+
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def decoded(text: Column) -> Column:
+    """The text with its character references replaced, each once."""
+
+    def one(x):
+        hexed = F.conv(F.regexp_extract(x, "(?i)^&#x([0-9a-f]{1,6});$", 1), 16, 10)
+        code = F.when(x.rlike("(?i)^&#x[0-9a-f]{1,6};$"), hexed).when(x.rlike("^&#[0-9]{1,7};$"), F.regexp_extract(x, "^&#([0-9]+);$", 1)).cast("bigint")
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        out = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), sign)
+        for name, value in NAMED.items():
+            out = out.when(x == name, value)
+        return F.when(x.startswith("&"), out.otherwise(x)).otherwise(x)
+
+    parts = F.regexp_extract_all(text, F.lit("(?s)&#?[0-9A-Za-z]+;|[^&]+|&"), 0)
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def undotted(url: Column) -> Column:
+    """An absolute URL without the path segments . and .. ."""
+    start = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+    kept = lambda a, x: F.when(x == ".", a).when(x != "..", F.concat(a, F.array(x))).when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    segments = F.aggregate(F.slice(F.split(path, "/"), 2, 100_000), F.array(F.lit("")), kept)
+    end = F.when(path.rlike(r"(?s)/\.\.?$"), "/").otherwise("")
+    return F.when(path.rlike(r"(?s)/\.\.?(/|$)"), F.concat(start, F.array_join(segments, "/"), end, rest)).otherwise(url)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as an absolute URL, seen from ``base``."""
+
+    def whole(base, target):
+        scheme = F.regexp_extract(base, r"(?s)^([^/?#]*?:)//", 1)
+        start = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+        path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+        query = F.regexp_extract(base, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
+        folder = F.concat(F.regexp_replace(F.regexp_extract(path, r"(?s)^(.*/)", 1), "/$", ""), F.lit("/"))
+        return (
+            F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target)
+            .when(target.startswith("//"), F.concat(scheme, target))
+            .when(target.startswith("/"), F.concat(start, target))
+            .when(target.startswith("?"), F.concat(start, path, target))
+            .when(target.startswith("#") | (target == ""), F.concat(start, path, query, target))
+            .otherwise(F.concat(start, folder, target))
+        )
+
+    return let(let(base, lambda b: let(target, lambda t: whole(b, t))), undotted)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Redirect and canonical-link edges ``source, target`` (absolute URLs) that
-    the pages' html states: rel=canonical, og:url and meta refresh. Relative
-    targets starting with / are resolved against the page's host."""
-    tag = {
-        "canonical": r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
-        "og": r"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)""",
-        "refresh": r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)""",
-    }
-    found = [F.nullif(F.regexp_extract("html", t, 1), F.lit("")) for t in tag.values()]
+    the pages' html states: all rel=canonical, og:url and meta refresh. Character
+    references are decoded; relative targets are resolved against the page's URL,
+    or its base element's."""
     hit = pages.where("html IS NOT NULL AND url IS NOT NULL").where(F.col("html").rlike(r"(?i)canonical|og:url|http-equiv"))
-    target = F.explode(F.array_distinct(F.array_compact(F.array(*found))))
-    hit = hit.select(F.col("url").alias("source"), target.alias("target"))
-    start = F.regexp_extract("source", r"(?s)^(.*?://[^/?#]*)", 1)
-    return hit.select("source", F.when(F.col("target").startswith("/"), F.concat(start, "target")).otherwise(F.col("target")).alias("target"))
+    all_tags = F.regexp_extract_all("html", F.lit(r"""(?is)<(?:link|meta|base)[\s"'](?:[^>"']|"[^"]*"|'[^']*')*+>"""), 0)
+    hit = hit.select(F.col("url").alias("source"), all_tags.alias("tags"))
+    own = lambda name, fits, value: F.transform(F.filter("tags", lambda t: t.rlike(f"(?i)^<{name}") & fits(t)), value)
+    canonical = own("link", lambda t: attribute(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), lambda t: attribute(t, "href"))
+    og = own("meta", lambda t: F.lower(attribute(t, "(?:property|name)")) == "og:url", lambda t: attribute(t, "content"))
+    refresh = own("meta", lambda t: F.lower(attribute(t, "http-equiv")) == "refresh", lambda t: F.trim(F.regexp_extract(attribute(t, "content"), r"""(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?["']?([^"']+)""", 1)))
+    bases = F.filter(own("base", lambda t: F.lit(True), lambda t: attribute(t, "href")), lambda x: x != "")
+    hit = hit.select("source", F.try_element_at(bases, F.lit(1)).alias("base"), F.explode(F.array_distinct(F.filter(F.concat(canonical, og, refresh), lambda x: x != ""))).alias("target"))
+    base = F.when(F.col("base").isNull(), F.col("source")).otherwise(resolved(F.col("source"), F.col("base")))
+    return hit.select("source", base.alias("base"), "target").select("source", resolved(F.col("base"), F.col("target")).alias("target"))
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
