@@ -6,6 +6,8 @@ A word is a maximal run of bytes other than ASCII white space
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 WHITE = np.zeros(256, bool)
@@ -13,6 +15,8 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+#: Bytes whose running sums are taken at once.
+STEP = 1 << 16
 _powers = np.ones(1, np.uint64)
 
 
@@ -57,20 +61,80 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets[1:], starts, "right")
 
 
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random odd number for each byte; powers of MULTIPLIER and their inverses
+    modulo 2^64, so that differences of running sums are hashes of spans."""
+    numbers = np.random.default_rng(5).integers(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    inverse = np.full(STEP + 1, pow(MULTIPLIER, -1, 2**64), np.uint64)
+    inverse[0] = 1
+    return numbers, powers(STEP + 1)[: STEP + 1], np.multiply.accumulate(inverse)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span; the spans are in order and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    within = np.ones(int(sizes.sum()), np.int64)
-    first = np.zeros(len(sizes), np.int64)
-    np.cumsum(sizes[:-1], out=first[1:])
-    within[0] = 0
-    within[first[1:]] = 1 - sizes[:-1]
-    within = np.cumsum(within)
-    at = within + np.repeat(starts, sizes)
-    value = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[within]
-    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    numbers, power, inverse = _tables()
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + STEP, "right")))
+        if ends[i] - base > STEP:  # one long span, piece by piece
+            value, scale = np.uint64(0), np.uint64(1)
+            with np.errstate(over="ignore"):
+                for a in range(base, int(ends[i]), STEP):
+                    block = data[a : min(a + STEP, int(ends[i]))]
+                    value += scale * (numbers[block] * power[: len(block)]).sum(dtype=np.uint64)
+                    scale *= power[STEP]
+            out[i], i = value, i + 1
+            continue
+        block = data[base : ends[j - 1]]
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(numbers[block] * power[: len(block)], out=sums[1:])
+        at = starts[i:j] - base
+        out[i:j] = (sums[ends[i:j] - base] - sums[at]) * inverse[at]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+class Finder:
+    """Places of distinct 64-bit keys. A table holds one key for each slot; those
+    that find theirs taken are in the next table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        if len(np.unique(keys)) != len(keys):
+            raise ValueError("two keys are equal")
+        self.tables: list[tuple[np.ndarray, int, int]] = []
+        left, shift = np.arange(len(keys)), 0
+        while len(left):
+            size = max(1 << 14, 1 << int(len(left) * 4 - 1).bit_length())
+            slots = np.full(size, -1, np.int32)
+            at = ((keys[left] >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)
+            slots[at[::-1]] = left[::-1]
+            self.tables.append((slots, shift, size - 1))
+            left = left[slots[at] != left]
+            shift = shift + 7 if shift < 40 else 0
+            if len(self.tables) > 40:
+                raise ValueError("the tables don't settle")
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out = np.full(len(key), -1, np.int64)
+        rest = None
+        for slots, shift, mask in self.tables:
+            own = key if rest is None else key[rest]
+            at = slots[((own >> np.uint64(shift)) & np.uint64(mask)).astype(np.int64)]
+            hit = (at >= 0) & (self.keys[at] == own)
+            if rest is None:
+                out[hit] = at[hit]
+                rest = np.flatnonzero((at >= 0) & ~hit)
+            else:
+                out[rest[hit]] = at[hit]
+                rest = rest[(at >= 0) & ~hit]
+            if not len(rest):
+                break
+        return out
 
 
 def shingles(word: np.ndarray, text: np.ndarray, n_texts: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -3,80 +3,11 @@
 from __future__ import annotations
 
 import html
-import math
-import zlib
-from collections import Counter
 from urllib.parse import urljoin, urlsplit
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
-from newsmill.llm import language, language_model, near_duplicates, url_filters
-
-
-def test_every_training_document_is_learnt_from(spark, monkeypatch):
-    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
-    training = docs.where(language.remainder(10) != 0)
-    seen = []
-
-    def record(share, model):
-        seen.extend(r.text for r in share.collect())
-        return model.vector
-
-    monkeypatch.setattr(language_model, "average_round", record)
-    language_model.score_documents(docs).count()
-    assert sorted(seen) == sorted(r.text for r in training.collect())
-
-
-def test_words_beyond_the_classes_are_predicted_from_the_state():
-    words = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    assert language_model.groups_for(100 * 5000) >= 9 * language_model.groups_for(5000) > 500
-    m = language_model.Model(words, np.arange(6000, 1000, -1), 9, rest=np.arange(1, 56))
-    y = m.numbers(words)
-    assert len(set(y.tolist())) == 2046 + 55
-    p = m.parts()
-    rng = np.random.default_rng(1)
-    p["Wo"][:] = rng.normal(0, 1, p["Wo"].shape)
-    at = lambda h: np.exp(language_model._output(m, p, np.repeat(h, m.n + 55, axis=0), np.arange(m.n + 55)))
-    a, b = at(np.ones((1, language_model.HIDDEN), np.float32)), at(-np.ones((1, language_model.HIDDEN), np.float32))
-    for q in (a, b):  # the groups together are OTHER
-        assert abs(q[m.n :].sum() - q[language_model.OTHER]) < 1e-5 and abs(q[: m.n].sum() - 1) < 1e-4
-    assert np.abs(a[m.n :] / a[language_model.OTHER] - b[m.n :] / b[language_model.OTHER]).max() > 0.01
-    # the gradient is that of the sum of -log p
-    h = rng.normal(0, 1, (3, language_model.HIDDEN)).astype(np.float32)
-    y = np.array([0, m.n + 7, m.n + 54])
-    grad = {k: np.zeros_like(v) for k, v in p.items()}
-    _, dh = language_model._output(m, p, h, y, grad)
-    step = np.zeros_like(h)
-    step[1, 4] = 1e-2
-    slope = (language_model._output(m, p, h - step, y) - language_model._output(m, p, h + step, y)).sum() / 2e-2
-    assert abs(slope - dh[1, 4]) < 1e-2 and np.abs(grad["Wo"]).sum() > 0
-
-
-def test_untrained_scores_equal_unigram_counts(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "average_round", lambda share, model: model.vector * _kept(model))
-    monkeypatch.setattr(language_model, "CLASSES", 2)
-    monkeypatch.setattr(language_model, "PER_CLASS", 4)
-    monkeypatch.setattr(language_model, "FREQUENT", 9)
-    texts = [" ".join(f"w{(i * k) % 37}" for k in range(1, 30)) for i in range(40)] + ["w1 never seen"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    n = Counter(w for i, t in enumerate(texts) if not held(i) for w in [*t.split(), "end"])
-    for r in language_model.score_documents(docs).collect():
-        if r.n_known == r.n_tokens:  # without recurrent weights only smoothing parts the two
-            want = sum(math.log10(n[w] / n.total()) for w in [*texts[r.doc_id].split(), "end"])
-            assert r.score == pytest.approx(want, abs=0.05 * r.n_tokens)
-
-
-def _kept(model) -> np.ndarray:
-    """1 for biases of the outputs, 0 for all other parameters."""
-    at, out = 0, np.zeros_like(model.vector)
-    for k, s in model.shapes.items():
-        size = int(np.prod(s))
-        out[at : at + size] = k in ("bc", "bw", "bo")
-        at += size
-    return out
+from newsmill.llm import near_duplicates, url_filters
 
 
 def test_keep_one_keeps_one_row_of_each_class(spark):

@@ -123,20 +123,6 @@ def test_language_model(docs, none):
     assert language_model.score_documents(none).count() == 0
 
 
-def test_model_is_a_distribution_and_learns():
-    m = language_model.Model(np.arange(1, 60, dtype=np.uint64), np.arange(60, 1, -1), 50)
-    y = np.random.default_rng(0).integers(0, m.n, 60).astype(np.int32)
-    at = np.array([0, 20, 45, 60])
-    p = m.parts()
-    h = np.ones((1, language_model.HIDDEN), np.float32)
-    assert abs(sum(math.exp(language_model._output(m, p, h, np.array([k]))[0]) for k in range(m.n)) - 1) < 1e-4
-    one = language_model.score_tokens(m, y, at, window=1, n_streams=1)
-    assert np.allclose(one, language_model.score_tokens(m, y, at, window=7, n_streams=3), atol=1e-4)
-    for _ in range(20):
-        language_model.train(m, y, at)
-    assert language_model.score_tokens(m, y, at).sum() > one.sum()
-
-
 def test_near_duplicates(docs, none):
     got = rows_of(near_duplicates.join(docs))
     sets = {}
