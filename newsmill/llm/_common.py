@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,25 +24,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound what one Arrow batch holds. Spark has this as a setting of the session
+    only; a smaller bound that is set there stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+@functools.cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="newsmill-")
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) an own folder is made and set.
-    """
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the cluster names in
+    ``spark.checkpoint.dir``. Where that is unset, an own folder, in local mode
+    only: elsewhere executors wouldn't share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="newsmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+#: Paths made inside each open ``scratch``, the innermost last.
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/newsmill-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/newsmill-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return f"{path}/{name}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is staged inside goes when the block ends. A result that outlives it
+    has to be staged at a path that was taken before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -59,6 +87,33 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than 1 / HOT of the rows is hot, so fewer than HOT keys are.
+HOT = 1000
+#: Rows of a key that one task takes in any case.
+FEW_ROWS = 20_000
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """The keys with more than 1 / HOT of the rows of ``df`` (and FEW_ROWS): fewer
+    than HOT, however many rows there are."""
+    total = df.count()
+    if total <= FEW_ROWS:
+        return []
+    most = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(FEW_ROWS, total / HOT))
+    return [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in most.collect() if r[0] is not None]
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``left.join(right, key, how)`` (inner or left) where a key may have a large
+    share of left's rows; right has one row of a key at most. The rows of right
+    for hot keys (fewer than HOT rows) are broadcast, the others are shuffled."""
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    own = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(own).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how).unionByName(left.where(~own).join(right.where(~own), key, how))
+
+
 def text_column(df: DataFrame, column: str = "text"):
     """The text, with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

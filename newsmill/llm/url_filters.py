@@ -160,11 +160,11 @@ def judge(pages: DataFrame, edges: DataFrame, rules=RULES, default: str = "allow
     _, verdict = rule_of(host_of(full), path_of(full), rules)
     marks = parts.withColumn("verdict", verdict).groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"), F.bool_or(F.col("verdict") == "block").alias("blocked"))
     carried = parts.join(marks, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("carried"))
-    # only pages without a rule and with a link can change: the rest skip the join
     return pages.join(carried, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "carried", F.lit(default)).alias("verdict"), F.coalesce(F.col("own").isNull() & F.col("carried").isNotNull(), F.lit(False)).alias("by_alias"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page; edge cases as ``judge`` says."""
     pages = table(spark, sf_dir, "pages")
     return judge(pages, links(pages))
 
