@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from newsmill.llm._common import new_path, table
+from newsmill.llm._common import FEW_ROWS, HOT, new_path, staged, table
 
 CRLF = "\r\n"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_type string, full_length bigint, content_length bigint, payload_sha1 string, payload binary, file string, offset bigint"
@@ -48,14 +48,26 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Of pages with equal payloads of at least ``min_bytes`` bytes, that with the
     least key is the response (all rows that repeat this key are), the others
     are revisits that refer to it. Null keys come last; a payload that has only
-    null keys is all response. The least key is a grouped minimum over digests,
-    so a payload that many pages share meets in no task; payloads travel only
-    in the join that gives them their record type."""
+    null keys is all response. Null html is empty; an empty table gives no rows;
+    other columns don't matter.
+
+    The least key is a grouped minimum over digests. Payloads travel only in the
+    join that gives them their record type. A payload that more than 1 / HOT of
+    the pages share is looked up by broadcast (fewer than HOT digests) and its
+    rows join by their key, so it meets in no task."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("key"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("bigint"), "digest": sha1_base32(F.col("payload"))})
-    least = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sums = rows.select("key", "n_bytes", "digest").where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    sums = staged(sums.where("n > 1"), "digests")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sums.where(F.col("n") > max(FEW_ROWS, total / HOT)).select("digest", F.col("least").alias("hot_least"))
+    rows = rows.join(F.broadcast(hot), "digest", "left")
+    # a hot row's payload is known to be at least min_bytes long: equal digests have equal payloads
+    dealt = F.when(F.col("hot_least").isNotNull(), F.concat(F.lit("-"), F.coalesce(F.col("key").cast("string"), F.concat(F.lit("u"), F.xxhash64("url").cast("string"))))).otherwise(F.col("digest"))
+    joined = rows.withColumn("dealt", dealt).join(sums.select(F.col("digest").alias("dealt"), "least"), "dealt", "left")
+    joined = joined.withColumn("least", F.coalesce("least", "hot_least"))
     revisit = F.coalesce((F.col("n_bytes") >= min_bytes) & F.col("least").isNotNull() & ~F.col("key").eqNullSafe(F.col("least")), F.lit(False))
-    joined = rows.join(least, "digest", "left").withColumn("revisit", revisit)
+    joined = joined.withColumn("revisit", revisit)
     return joined.select("key", "url", "payload", "n_bytes", "digest", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("least")).alias("refers_to"))
 
 
@@ -257,6 +269,7 @@ def page_records(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page, as read back from the archives."""
     path = new_path(spark, "warc")
     write(with_revisits(table(spark, sf_dir, "pages")), path)
     found = read(spark, path, payload="digest").where(F.col("record_type").isin("response", "revisit"))
