@@ -1,5 +1,10 @@
 """Benchmark decontamination: a BM25 index of test items searched with every
-training passage, under block-max bounds, then verified on word shingles."""
+training passage, under block-max bounds, then verified on word shingles.
+
+The search is block-max WAND without its cursor: a passage's lists are all taken
+at once, and a block of items is a pivot where the block maxima of the lists that
+reach it add up to the threshold. Only pivots are scored, so the same items are
+found as by scoring all."""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsmill.llm._common import chunks, table, text_column, tune
+from newsmill.llm._common import chunks, hot_join, staged, table, text_column, tune
 from newsmill.llm._words import hashes, shingles, spans
 
 K1, B = 1.2, 0.75
@@ -63,6 +68,8 @@ class Index:
     block_top: np.ndarray
     grams: list[np.ndarray]
     answer: list[np.ndarray]
+    run: list[int]
+    parted: list[bool]
 
 
 def answer_start(text: str) -> int:
@@ -75,29 +82,38 @@ def answer_start(text: str) -> int:
     return parts[len(parts) * 2 // 3] if parts else 0
 
 
-def build(items: list[tuple], size: int = WORDS) -> Index | None:
-    """The index of (id, text, answer or None) rows. Items with fewer than
-    ``size`` words can't be verified and are left out, as are null texts."""
+def item_words(text: str | None, answer: str | None) -> tuple[np.ndarray, int]:
+    """Word hashes of an item, question then answer, and those of the question.
+    Without an answer the last sentence is taken as one."""
+    text = text or ""
+    question, reply = (text, answer) if answer is not None else (text[: answer_start(text)], text[answer_start(text) :])
+    q, _ = _pack([question])
+    a, _ = _pack([reply])
+    return np.concatenate([q, a]), len(q)
+
+
+def build(items: list[tuple], size: int = WORDS, stats: tuple | None = None) -> Index | None:
+    """The index of (id, text, answer or None) rows; rows without a word are left
+    out. ``stats``: items in all, their mean length, sorted terms and how many
+    items have each, where these rows are a share of the items."""
     rows = []
     for key, text, answer in items:
-        text = text or ""
-        question, reply = (text, answer) if answer is not None else (text[: answer_start(text)], text[answer_start(text) :])
-        q, _ = _pack([question])
-        a, _ = _pack([reply])
-        both = np.concatenate([q, a])
-        if len(both) >= size:
-            rows.append((len(both), key, both, len(q)))
+        both, n_question = item_words(text, answer)
+        if len(both):
+            rows.append((len(both), key, both, n_question, answer is not None))
     if not rows:
         return None
     rows.sort(key=lambda r: (r[0], str(r[1])))
-    mean = sum(r[0] for r in rows) / len(rows)
     terms, tid = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
     item = np.repeat(np.arange(len(rows)), [r[0] for r in rows])
     pair, tf = np.unique(tid.astype(np.int64) * len(rows) + item, return_counts=True)
     term, item = pair // len(rows), pair % len(rows)
-    df = np.bincount(term, minlength=len(terms))
+    total, mean, df = len(rows), sum(r[0] for r in rows) / len(rows), np.bincount(term, minlength=len(terms))
+    if stats:
+        total, mean, known, many = stats
+        df = many[np.searchsorted(known, terms)]
     length = np.array([r[0] for r in rows], float)[item]
-    idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
     impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
     impact /= np.bincount(item, weights=impact, minlength=len(rows))[item]
     post_at = np.searchsorted(term, np.arange(len(terms) + 1))
@@ -105,12 +121,14 @@ def build(items: list[tuple], size: int = WORDS) -> Index | None:
     block = item // BLOCK_ITEMS
     fresh = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
     first = np.flatnonzero(fresh)
-    grams, answer = [], []
-    for _, _, both, n_question in rows:
-        g, _ = shingles(both, np.zeros(len(both), np.int64), 1, size)
+    grams, answer, run = [], [], []
+    for n, _, both, n_question, _ in rows:
+        k = min(size, n)
+        g, _ = shingles(both, np.zeros(n, np.int64), 1, k)
         grams.append(g)
-        answer.append(np.arange(len(g)) + size > n_question)
-    return Index([r[1] for r in rows], int(max(r[0] for r in rows)), terms, top, post_at, item, impact, np.searchsorted(term[first], np.arange(len(terms) + 1)), block[first], np.maximum.reduceat(impact, first), grams, answer)
+        answer.append(np.arange(len(g)) + k > n_question)
+        run.append(k)
+    return Index([r[1] for r in rows], int(max(r[0] for r in rows)), terms, top, post_at, item, impact, np.searchsorted(term[first], np.arange(len(terms) + 1)), block[first], np.maximum.reduceat(impact, first), grams, answer, run, [r[4] for r in rows])
 
 
 def _spread(at: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,60 +209,118 @@ HIT = "array<struct<item_id:string,bm25:double,question_overlap:double,answer_ov
 
 
 def verified(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, overlap: float) -> list[list[dict]]:
+    """The hits of each text. An item of fewer than WORDS words is verified as a
+    run of all its words; where the answer is given apart, the question's own
+    share is enough, and the answer's is told."""
     out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
     found = search(index, data, offsets, threshold)
-    at = None
+    at, word, have = None, None, {}
     for t, i, score in found:
         if at != t:
             word, own = words(data[offsets[t] : offsets[t + 1]], np.array([0, offsets[t + 1] - offsets[t]]))
-            have = np.unique(shingles(word, own, 1)[0])
-            at = t
+            at, have = t, {}
+        k = index.run[i]
+        if k not in have:
+            have[k] = np.unique(shingles(word, own, 1, k)[0]) if len(word) >= k else np.zeros(0, np.uint64)
         grams, answer = index.grams[i], index.answer[i]
-        near = np.searchsorted(have, grams)
-        near[near == len(have)] = 0
-        there = have[near] == grams
-        if there.mean() < overlap:
+        if not len(have[k]):
             continue
+        near = np.searchsorted(have[k], grams)
+        near[near == len(have[k])] = 0
+        there = have[k][near] == grams
         share = lambda own: float(there[own].mean()) if own.any() else 1.0
-        out[t].append({"item_id": index.ids[i], "bm25": score, "question_overlap": share(~answer), "answer_overlap": share(answer)})
+        question = share(~answer)
+        if there.mean() >= overlap or index.parted[i] and (~answer).any() and question >= overlap:
+            out[t].append({"item_id": index.ids[i], "bm25": score, "question_overlap": question, "answer_overlap": share(answer)})
     return out
 
 
-def indexes(items: DataFrame, answer_col: str | None = None):
-    """One index for each INDEX_BYTES of items: what is sent out has this bound,
-    however many items there are."""
-    rows = items.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)) + 32)).first()[0] or 0
-    shards = max(1, -(-total // INDEX_BYTES))
-    for k in range(shards):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k) if shards > 1 else rows
-        made = build([tuple(r) for r in own.distinct().collect()])
-        if made is not None:
-            yield made
+def _items(items: DataFrame, answer_col: str | None) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    return items.select(text("item_id").alias("id"), text("text").alias("text"), (text(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, keep: list[str], answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def shards_of(items: DataFrame, answer_col: str | None = None, limit: int = INDEX_BYTES) -> list[tuple]:
+    """For each ``limit`` bytes of items (about) a condition on the rows of
+    ``_items`` that are in one index, and what all items say: their number, mean
+    length and terms. One index: no more is needed than its rows."""
+    rows = _items(items, answer_col)
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)) + 32)).first()[0] or 0
+    shards = max(1, -(-total // limit))
+    if shards == 1:
+        return [(rows, None, None)]
+    part = F.pmod(F.xxhash64("id", "text", "answer"), F.lit(shards))
+
+    def count(batches):
+        for batch in batches:
+            for k, text, answer in zip(*(batch.column(c).to_pylist() for c in ("part", "text", "answer"))):
+                both, _ = item_words(text, answer)
+                if len(both):
+                    term = np.unique(both)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(term), pa.int64()), pa.array(term.view(np.int64)), pa.array([len(both)] + [None] * (len(term) - 1), pa.int64())], ["part", "term", "length"])
+
+    spread = staged(rows.select(part.alias("part"), "text", "answer").mapInArrow(count, "part bigint, term bigint, length bigint"), "terms")
+    n, mean = spread.agg(F.count("length"), F.avg("length")).first()
+    df = staged(spread.groupBy("term").agg(F.count("*").alias("df")), "df")
+    own = staged(hot_join(spread.select("part", "term").distinct(), df, "term"), "own")
+    return [(rows.where(part == k), own.where(F.col("part") == k).select("term", "df"), (n, mean)) for k in range(shards)]
+
+
+def _index(rows: DataFrame, terms: DataFrame | None, totals: tuple | None) -> Index | None:
+    """The index of one shard: its items and the counts of its own terms are all
+    that is gathered."""
+    stats = None
+    if terms is not None:
+        found = sorted((np.int64(r.term).view(np.uint64), r.df) for r in terms.collect())
+        stats = (*totals, np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64))
+    return build([tuple(r) for r in rows.collect()], stats=stats)
+
+
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str], answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP, limit: int = INDEX_BYTES) -> DataFrame:
     """The columns ``keep`` of each document with ``__hits``, the test items it
-    holds: those retrieved whose word shingles (five words; question and answer
-    together) it has to ``overlap`` at least. Null texts, empty tables and items
-    of under five words give no hits; repeated rows are judged each; equal
-    items are each reported."""
+    holds: those retrieved whose word shingles it has to ``overlap`` at least. A
+    shingle is five words; an item of fewer words is one, found as a run. Without
+    ``answer_col`` question and answer (the last sentence) are verified together;
+    with it the question alone is enough as well. Both shares are told.
+
+    Items fill indexes of ``limit`` bytes of text; counts, idf and mean length
+    are those of all items, so scores don't depend on the split. One index: each
+    document is searched in one pass. More: documents are numbered and written
+    once, and one index after the other is sent out, searched and taken back, so
+    that one is held at a time.
+
+    Null and empty texts and items and empty tables give no hits; repeated rows
+    are judged each; equal items with other ids are each reported, repeated rows
+    of an item once; a ``keep`` of any names stays as it is."""
     spark = docs.sparkSession
     tune(spark)
-    sent = [spark.sparkContext.broadcast(i) for i in indexes(items, answer_col)]
-    rows = docs.select(*keep, F.lower(text_column(docs)).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__hits", T._parse_datatype_string(HIT))])
+    text = F.lower(text_column(docs))
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("bm25", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-
-    def work(batches):
-        for part, data, offsets in chunks(batches, "__text", SEARCH_BYTES):
-            hits: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            for one in sent:
-                for own, more in zip(hits, verified(one.value, data, offsets, threshold, overlap)):
-                    own += more
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, kind)], [*keep, "__hits"])
-
-    return rows.mapInArrow(work, schema)
+    hit_type = T._parse_datatype_string(HIT)
+    parts = shards_of(items, answer_col, limit)
+
+    def searcher(sent):
+        def work(batches):
+            for part, data, offsets in chunks(batches, "__text", SEARCH_BYTES):
+                hits = verified(sent.value, data, offsets, threshold, overlap) if sent.value else [[]] * part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, kind)], [*part.schema.names[:-1], "__hits"])
+
+        return work
+
+    def searched(rows, sent):
+        return rows.mapInArrow(searcher(sent), T.StructType([*rows.schema.fields[:-1], T.StructField("__hits", hit_type)]))
+
+    if len(parts) == 1:
+        return searched(docs.select(*keep, text.alias("__text")), spark.sparkContext.broadcast(_index(*parts[0])))
+    rows = staged(docs.select(*keep, text.alias("__text")).withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for part in parts:
+        sent = spark.sparkContext.broadcast(_index(*part))
+        own = staged(searched(rows.select("__rid", "__text"), sent).where(F.size("__hits") > 0), "hits")
+        sent.destroy()
+        found = own if found is None else found.unionByName(own)
+    hits = found.groupBy("__rid").agg(F.flatten(F.collect_list("__hits")).alias("__hits"))
+    return rows.drop("__text").join(hits, "__rid", "left").select(*keep, F.coalesce("__hits", F.array().cast(hit_type)).alias("__hits"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
