@@ -6,6 +6,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,55 +36,76 @@ def _encoder(path: str):
     return _known[path]
 
 
-def token_counts(data: np.ndarray, offsets: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
-    """Tokens of each text. The tokenizer never joins the end of a word to white
-    space after it, so texts are cut before each run of ASCII white space, and a
-    piece that occurs often is tokenized once. Texts with other white space,
-    where such runs can be longer, are tokenized whole."""
+def token_ids(data: np.ndarray, offsets: np.ndarray, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, one after the other, and their n+1 offsets. The
+    tokenizer never joins the end of a word to white space after it, so texts are
+    cut before each run of ASCII white space, and a piece that occurs often is
+    tokenized once. Texts with other white space, where such runs can be longer,
+    are tokenized whole."""
     encoder, seen = _encoder(path)
     n = len(offsets) - 1
     if not len(data):
-        return np.zeros(n, np.int64)
+        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
     raw = data.tobytes()
     white = WHITE[data]
     cut = np.zeros(len(data), bool)
     cut[1:] = white[1:] & ~white[:-1]
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    odd = np.add.reduceat(np.append((data >= 0xC2) | ((data >= 0x1C) & (data <= 0x1F)), False), np.minimum(offsets[:-1], len(data))) * (np.diff(offsets) > 0)
+    for i in np.flatnonzero(odd).tolist():
+        text = raw[offsets[i] : offsets[i + 1]].decode()
+        if any(c.isspace() and (ord(c) > 127 or "\x1c" <= c <= "\x1f") for c in set(text)):
+            cut[offsets[i] + 1 : offsets[i + 1]] = False
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(data))
     own = np.searchsorted(offsets[1:], starts, "right")
     key, first, back = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
     if len(seen) > _SEEN:
         seen.clear()
-    size = np.empty(len(key), np.int64)
-    for i, (k, f) in enumerate(zip(key.tolist(), first.tolist())):
+    made = []
+    for k, f in zip(key.tolist(), first.tolist()):
         got = seen.get(k)
         if got is None:
-            got = seen[k] = len(encoder.encode_ordinary(raw[starts[f] : ends[f]].decode()))
-        size[i] = got
-    total = np.bincount(own, weights=size[back], minlength=n).astype(np.int64)
-    for i in np.flatnonzero(np.add.reduceat(np.append(data >= 0xC2, False), np.minimum(offsets[:-1], len(data))) * (np.diff(offsets) > 0)):
-        text = raw[offsets[i] : offsets[i + 1]].decode()
-        if any(c.isspace() and ord(c) > 127 for c in set(text)) or any("\x1c" <= c <= "\x1f" for c in set(text)):
-            total[i] = len(encoder.encode_ordinary(text))
-    return total
+            got = seen[k] = np.array(encoder.encode_ordinary(raw[starts[f] : ends[f]].decode()), np.int32)
+        made.append(got)
+    size = np.array([len(x) for x in made], np.int64)
+    at = (np.cumsum(size) - size)[back]
+    many = size[back]
+    total = np.bincount(own, weights=many, minlength=n).astype(np.int64)
+    place = np.arange(many.sum()) + np.repeat(at - (np.cumsum(many) - many), many)
+    return np.concatenate(made)[place], np.concatenate([[0], np.cumsum(total)])
+
+
+def end_id(path: str = VOCABULARY) -> int:
+    """The id that ends a document: the first after the vocabulary's."""
+    return _encoder(path)[0].n_vocab
 
 
 def sequences(docs: DataFrame, context: int = CONTEXT, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, seq, start, n_tokens``: each document's tokens and one end
-    token, cut into pieces of ``context`` tokens. Null texts are empty and are a
-    sequence of the end token alone. No token is dropped."""
+    """``rid, doc_id, seq, start, n_tokens, token_ids``: each document's tokens and
+    one end token, cut into pieces of ``context`` tokens; rid numbers the rows.
+    Null texts are empty and are a sequence of the end token alone. No token is
+    dropped. Written once to the shared folder, so the numbers stay."""
     tune(docs.sparkSession)
-    rows = docs.select("doc_id", text_column(docs).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
 
     def work(batches):
+        rid = TaskContext.get().partitionId() << 40
         for part, data, offsets in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(token_counts(data, offsets, vocabulary) + 1)], ["doc_id", "total"])
-
-    counted = rows.mapInArrow(work, "doc_id bigint, total bigint")
-    last = F.expr(f"(total - 1) div {context}")
-    each = counted.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("seq"))
-    return each.select("doc_id", "seq", (F.col("seq") * context).alias("start"), F.least(F.lit(context).cast("bigint"), F.col("total") - F.col("seq") * context).alias("n_tokens"))
+            ids, at = token_ids(data, offsets, vocabulary)
+            n = part.num_rows
+            ids = np.insert(ids, at[1:], end_id(vocabulary)).astype(np.int32)
+            at = at + np.arange(n + 1)
+            pieces = -(-np.diff(at) // context)
+            row = np.repeat(np.arange(n), pieces)
+            seq = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = at[row] + seq * context
+            cuts = np.append(first, len(ids))
+            tokens = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(row))), part.column(0).take(pa.array(row)), pa.array(seq), pa.array(seq * context), pa.array(np.diff(cuts)), tokens], ["rid", "doc_id", "seq", "start", "n_tokens", "token_ids"])
+            rid += len(row)
+
+    return staged(rows.mapInArrow(work, "rid bigint, doc_id bigint, seq bigint, start bigint, n_tokens bigint, token_ids array<int>"), "sequences")
 
 
 def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -120,15 +142,19 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 
 
 def pack(docs: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET, vocabulary: str = VOCABULARY) -> DataFrame:
-    """A row per sequence with its ``bucket``, ``padded`` length and ``batch``.
+    """A row per sequence with its ``bucket``, ``padded`` length, ``batch`` and
+    ``token_ids``: what a batch holds, up to padding.
 
     The histogram has at most ``context`` rows, whatever the corpus. A batch of
     bucket b holds floor(budget / padded) sequences (one at least); only the last
     batch of a bucket can hold fewer. Sequences are numbered inside shards of a
-    bucket and shards are added up, so a bucket with most rows meets in no task.
-    An empty table gives no rows; repeated rows are sequences of their own."""
-    made = staged(sequences(docs, context, vocabulary), "sequences")
-    histogram = {r.n_tokens: r.n for r in made.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    bucket and shards are added up, so a bucket with most rows meets in no task;
+    token ids travel once, by the number of their row. An empty table gives no
+    rows; repeated rows are sequences of their own; other columns don't matter.
+    One very long text is held by a task, as ids, and cut into sequences."""
+    made = sequences(docs, context, vocabulary)
+    narrow = made.drop("token_ids")
+    histogram = {r.n_tokens: r.n for r in narrow.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     bounds = boundaries(histogram, buckets)
     if not bounds:
         bounds = [context]
@@ -137,15 +163,18 @@ def pack(docs: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS, budget
     for i in range(len(bounds) - 2, -1, -1):
         number = F.when(F.col("n_tokens") <= bounds[i], i).otherwise(number)
         padded = F.when(F.col("n_tokens") <= bounds[i], bounds[i]).otherwise(padded)
-    rows = made.withColumns({"bucket": number, "padded": padded.cast("bigint"), "shard": F.pmod(F.xxhash64("doc_id", "seq", "n_tokens"), F.lit(shards))})
+    rows = narrow.withColumns({"bucket": number, "padded": padded.cast("bigint"), "shard": F.pmod(F.xxhash64("rid"), F.lit(shards))})
     size = rows.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     offset = size.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("bucket", "shard").orderBy("doc_id", "seq", "n_tokens"))
+    own = F.row_number().over(W.partitionBy("bucket", "shard").orderBy("doc_id", "seq", "n_tokens", "rid"))
     placed = rows.withColumn("own", own).join(offset, ["bucket", "shard"])
     capacity = F.greatest(F.lit(1).cast("bigint"), F.expr(f"{budget} div padded"))
-    return placed.withColumn("capacity", capacity).select("doc_id", "seq", "start", "n_tokens", "bucket", "padded", F.expr("(before + own - 1) div capacity").alias("batch"))
+    placed = placed.withColumn("capacity", capacity).select("rid", "doc_id", "seq", "start", "n_tokens", "bucket", "padded", F.expr("(before + own - 1) div capacity").alias("batch"))
+    return placed.join(made.select("rid", "token_ids"), "rid").drop("rid")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    """A row per sequence, with a digest in place of its token ids."""
+    made = pack(table(spark, sf_dir, "documents"))
+    return made.withColumn("token_digest", F.xxhash64("token_ids")).drop("token_ids")
