@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmill.llm._common import chunks, groups, staged, table, text_column, tune
+from newsmill.llm._common import chunks, groups, new_path, scratch, staged, table, text_column, tune
 from newsmill.llm._words import LOWER, Finder, hashes, spans
 from newsmill.llm.language import remainder
 
@@ -456,6 +456,12 @@ def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
     learnt from. Null texts have the end token alone. Repeated rows keep a row
     each. Without training documents all tokens are unknown. An empty table gives
     no rows; other columns don't matter."""
+    path = new_path(docs.sparkSession, "scores")
+    with scratch(docs.sparkSession):
+        return staged(_scores(docs, mod), "scores", path)
+
+
+def _scores(docs: DataFrame, mod: int) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     training = docs.where(remainder(mod) != 0)
