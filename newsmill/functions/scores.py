@@ -26,6 +26,10 @@ def age_weeks(age_s: Column) -> Column:
     return F.when(age_s < 60, "now").when(age_s < 3600, F.concat(whole(60), F.lit("m"))).when(age_s < 86400, F.concat(whole(3600), F.lit("h"))).when(age_s < 604800, F.concat(whole(86400), F.lit("d"))).otherwise(F.concat(whole(604800), F.lit("w")))
 
 
+def age_compact(s: Column) -> Column:
+    return F.when(s < 0, "0ms").when(s < 1, F.concat(F.floor(s * 1000).cast("string"), F.lit("ms"))).when(s < 60, F.format_string("%.1fs", s)).otherwise(F.format_string("%.0fm", s / 60))
+
+
 def dur_precision(ms: Column) -> Column:
     return F.when(ms >= 100, 0).when(ms >= 1, 1).otherwise(2)
 
@@ -117,3 +121,31 @@ def cosine_double(a: Column, b: Column) -> Column:
     norm = lambda v: F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), add)
     fits = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0)
     return F.when(fits, F.coalesce(F.try_divide(dot, F.sqrt(norm(a)) * F.sqrt(norm(b))), F.lit(0.0))).otherwise(0.0)
+
+
+def weight_adjust(weight: Column, up: Column, step: float = 0.05) -> Column:
+    """A weight one step up or down, within 0..1."""
+    return clamp(F.when(up, weight + step).otherwise(weight - step))
+
+
+def relevance_label(place: Column, score: Column) -> Column:
+    """The label of a reranked story; place counts from 0."""
+    return F.when((place < 2) & (score >= 0.8), "MAJOR").when((place < 4) & (score >= 0.6), "TOP").when(score >= 0.5, "RELEVANT").otherwise("NOTED")
+
+
+STATUSES = ("breaking", "persistent", "sustained", "developing", "fading")
+
+
+def status_order(status: Column) -> Column:
+    out = F.lit(len(STATUSES))
+    for k, name in enumerate(STATUSES):
+        out = F.when(status == name, k).otherwise(out)
+    return out
+
+
+def story_label(status: Column, hit: Column) -> Column:
+    """A careful label: a single hit may be noise."""
+    return (
+        F.when(status == "breaking", "\u25cf NEW").when(status == "developing", "\u25d0 EMERGING").when((status == "persistent") & (hit >= 6), "\u2605 MAJOR")
+        .when(status == "persistent", "\u25c9 ONGOING").when(status == "sustained", "\u25d1 SUSTAINED").when(status == "fading", "\u25cb FADING").otherwise("\u25e6 NOTED")
+    )

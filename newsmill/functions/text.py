@@ -121,17 +121,111 @@ def document_text(title: Column, summary: Column) -> Column:
     return F.when(blank(summary) == "", blank(title)).otherwise(F.concat(blank(title), F.lit(" - "), summary))
 
 
+#: A number at the start of a word.
+NUMBER = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+
+
 def parse_score(c: Column) -> Column:
-    """A relevance from model text: yes/no/maybe words, else the first number
-    clamped to 0..1, else 0.5; a leading think block is left out."""
-    low = F.trim(F.lower(F.regexp_replace(blank(c), r"(?is)^.*</think>", "")))
-    number = F.nullif(F.regexp_extract(low, r"(-?[0-9]*\.?[0-9]+)", 1), F.lit("")).try_cast("double")
+    """A relevance from model text: what a first word yes/no/maybe says, else the
+    first word that starts with a number, clamped to 0..1, else 0.5; what is up to
+    the first end of a think block is left out."""
+    text = blank(c)
+    text = F.regexp_replace(text, r"(?s)^.*?</think>", "")
+    text = F.regexp_replace(text, r"^\s+", "")
+    first = F.regexp_replace(F.lower(F.regexp_extract(text, r"^(\S*)", 1)), r"[.,!?]+$", "")
+    number = F.nullif(F.regexp_extract(text, r"(?:^|\s)" + NUMBER, 1), F.lit("")).try_cast("double")
     return (
-        F.when(low.rlike(r"^(yes|y|true)\b"), 1.0).when(low.rlike(r"^(no|n|false)\b"), 0.0).when(low.rlike(r"^(maybe|unclear|uncertain)\b"), 0.5)
+        F.when(first.isin("yes", "y", "true"), 1.0).when(first.isin("no", "n", "false"), 0.0).when(first.isin("maybe", "unclear", "uncertain"), 0.5)
         .otherwise(F.when(number.isNull(), 0.5).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))))
     )
 
 
+def parse_score_tenths(c: Column) -> Column:
+    """A score of 0 to 10 (or 0 to 1) from model text, as 0..1: the first word that
+    is a number, without "/10" or a stop or comma; none: 0."""
+    words = F.transform(F.split(F.trim(blank(c)), r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "/10$", ""), r"\.$", ""), ",$", ""))
+    numbers = F.filter(words, lambda w: w.rlike("^" + NUMBER + "$"))
+    value = F.coalesce(F.try_element_at(numbers, F.lit(1)).try_cast("double"), F.lit(0.0))
+    return F.greatest(F.least(F.when(value > 1, value / 10).otherwise(value), F.lit(1.0)), F.lit(0.0))
+
+
+def truncate_bytes(c: Column, n: int, mark: str = "...", room: bool = True) -> Column:
+    """At most n bytes, the mark inside them or (no room) after; a code point that
+    would be cut goes whole."""
+    raw = F.encode(blank(c), "UTF-8")
+    keep = n - len(mark) if room else n
+    # a byte of 0b10...... continues a code point: step back over at most three
+    last = lambda k: F.conv(F.hex(F.substring(raw, k + 1, 1)), 16, 10).cast("int").between(128, 191)
+    cut = F.when(~last(keep), keep).when(~last(keep - 1), keep - 1).when(~last(keep - 2), keep - 2).otherwise(keep - 3)
+    return F.when(F.length(raw) <= n, blank(c)).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"), F.lit(mark)))
+
+
+def trim_line(c: Column) -> Column:
+    return F.regexp_replace(blank(c), "[\r\n]+$", "")
+
+
+# Names of countries that aren't their key with a capital.
+COUNTRY_NAMES = {
+    "united_states": "United States", "united_kingdom": "United Kingdom", "north_korea": "North Korea", "south_korea": "South Korea",
+    "south_africa": "South Africa", "saudi_arabia": "Saudi Arabia", "hong_kong": "Hong Kong", "european_union": "European Union",
+}
+
+
+def country_display(key: Column) -> Column:
+    out = F.concat(F.upper(F.substring(key, 1, 1)), F.substring(key, 2, 2**31 - 1))
+    for k, v in COUNTRY_NAMES.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
+def entity_display(name: Column) -> Column:
+    """Words with a capital, underscores as spaces."""
+    words = F.split(F.trim(F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), r"\s+", " ")), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 2**31 - 1)))), " ")
+
+
+def context_snippet(text: Column, target: Column, around: int = 50) -> Column:
+    """The first place of target in text, in any case, with so many characters on
+    both sides, trimmed; empty where it isn't there."""
+    at = F.position(F.lower(target), F.lower(text))
+    start = F.greatest(at - around, F.lit(1))
+    return F.when(at > 0, F.trim(F.substring(text, start, at + F.length(target) + around - start))).otherwise("")
+
+
+def format_event(ts: Column, level: Column, comp: Column, kind: Column, msg: Column, dur_ms: Column, count: Column, source: Column, query: Column, err: Column) -> Column:
+    """One line for an event: fixed widths, then what it has."""
+    level = F.upper(blank(level))
+    width = lambda c, n: F.when(F.length(c) >= n, c).otherwise(F.rpad(c, n, " "))
+    digits = F.when(dur_ms >= 100, F.format_string("%.0f", dur_ms)).when(dur_ms >= 1, F.format_string("%.1f", dur_ms)).otherwise(F.format_string("%.2f", dur_ms))
+    some = lambda c, name: F.when(blank(c) != "", F.concat(F.lit(name), c))
+    head = F.concat(F.date_format(ts, "HH:mm:ss.SSS"), F.lit(" "), width(F.when(level == "", "?").otherwise(level), 5), F.lit(" ["), width(blank(comp), 6), F.lit("] "), width(blank(kind), 22))
+    return F.concat_ws(" ", head, some(msg, "\u2014 "), F.when(dur_ms > 0, F.concat(F.lit("("), digits, F.lit("ms)"))), F.when(count > 0, F.concat(F.lit("n="), count.cast("string"))), some(source, "src="), F.when(blank(query) != "", F.concat(F.lit('q="'), query, F.lit('"'))), some(err, "err="))
+
+
+def encode_vector(c: Column) -> Column:
+    """A float vector as little-endian bytes."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return run(c)
+
+
+def decode_vector(c: Column) -> Column:
+    """Little-endian bytes as a float vector; bytes of an unfinished number go."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
+
+    return run(c)
+
+
 def simhash(c: Column) -> Column:
     """64-bit map of word trigrams: one bit for each, by its hash modulo 64. A
     vectorized Python function: folding characters with SQL's higher-order

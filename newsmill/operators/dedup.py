@@ -16,22 +16,20 @@ from newsmill.functions import text as tx
 from newsmill.operators.staging import staged
 
 
-def first_wins(keys: DataFrame, rounds: int = 200) -> DataFrame:
+def first_wins(keys: DataFrame) -> DataFrame:
     """``pos`` of the rows that stay; keys: pos and key, a row for each key a
-    row has. Rows without any key are not among them: they always stay."""
+    row has. Rows without any key are not among them: they always stay. A round
+    settles the first undecided row at least, so it ends; a chain of conflicts in
+    the order of ``pos`` takes a round for every two of its rows."""
     left = keys.where("key IS NOT NULL").distinct()
     kept: DataFrame | None = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         first = left.groupBy("key").agg(F.min("pos").alias("first"))
         now = staged(left.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("ok")).where("ok").select("pos"))
         kept = now if kept is None else kept.union(now)
         taken = left.join(now, "pos", "left_semi").select("key").distinct()
         gone = left.join(taken, "key", "left_semi").select("pos").distinct()
         left = staged(left.join(gone.union(now), "pos", "left_anti"))
-    else:
-        raise RuntimeError("duplicate removal did not settle")
     return left.select("pos") if kept is None else kept
 
 
@@ -137,10 +135,33 @@ def chained_groups(vectors: DataFrame, threshold: float, near: int = 5) -> DataF
     pairs = similar_pairs(vectors, 2 * threshold - 1 - 1e-6).where((1 + F.col("sim")) / 2 >= threshold)
     best = pairs.withColumn("n", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a"))).where("n = 1")
     label = staged(vectors.select("pos").join(best.select(F.col("b").alias("pos"), F.col("a").alias("up")), "pos", "left").select("pos", F.coalesce("up", "pos").alias("root")))
-    for _ in range(64):
+    while True:
         up = label.select(F.col("pos").alias("root"), F.col("root").alias("next"))
         new = staged(label.join(up, "root").select("pos", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         label = new.select("pos", "root")
         if new.where("moved").isEmpty():
-            break
-    return label
+            return label
+
+
+def nearest_earlier(vectors: DataFrame, n: int = 5, threshold: float = -1.01) -> DataFrame:
+    """``pos, near, place``: the n most similar earlier vectors of each (pos,
+    embedding); ties: the earlier one."""
+    from pyspark.sql import Window as W
+
+    pairs = similar_pairs(vectors, threshold)
+    ranked = pairs.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a")))
+    return ranked.where(F.col("place") <= n).select(F.col("b").alias("pos"), F.col("a").alias("near"), "place", "sim")
+
+
+def of_one_size(vectors: DataFrame) -> DataFrame:
+    """The vectors with the size of the first (by ``pos``) that isn't empty."""
+    full = vectors.where("size(embedding) > 0")
+    first = full.agg(F.min_by(F.size("embedding"), "pos").alias("dims"))
+    return full.join(F.broadcast(first), F.size("embedding") == F.col("dims"), "left_semi")
+
+
+def group_stats(groups: DataFrame, root: str = "root") -> DataFrame:
+    """``indexed, groups, duplicates``: rows, groups of two or more, and rows that
+    aren't the first of theirs."""
+    sizes = groups.groupBy(root).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("indexed"), F.count_if(F.col("n") > 1).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))

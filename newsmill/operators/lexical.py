@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsmill.operators.staging import staged
+
 ACCENTS = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 #: Weights of title, summary, source name and author.
@@ -14,9 +17,15 @@ WEIGHTS = {"title": 10.0, "summary": 5.0, "source_name": 1.0, "author": 3.0}
 K1, B = 1.2, 0.75
 
 
+def plain(c: Column) -> Column:
+    """Lower case without accents; a text of ASCII alone has none to look for."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTS, PLAIN))
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTS, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.filter(F.split(plain(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
 def parse(query: str) -> list[list[tuple[bool, list[str], bool]]]:
@@ -40,7 +49,8 @@ def parse(query: str) -> list[list[tuple[bool, list[str], bool]]]:
 def search(items: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """``id, score`` of the best matches. Scores are negative, best first, ties
     by id. Only the columns that are searched are read, and each is tokenized
-    once; frequencies, lengths and numbers of rows are one aggregation."""
+    once; frequencies, lengths and numbers of rows are one aggregation of what
+    was counted."""
     groups = parse(query)
     terms = list(dict.fromkeys((tuple(w), p) for g in groups for _, w, p in g))
     if not terms:
@@ -64,7 +74,8 @@ def search(items: DataFrame, query: str, limit: int = 50) -> DataFrame:
         places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
         return F.size(F.filter(places, fits))
 
-    counted = rows.select("id", sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("d"), *(hits(c, w, p).alias(f"n{k}_{c}") for k, (w, p) in enumerate(terms) for c in WEIGHTS))
+    # what is counted is narrow: written once, it serves the statistics and the scores
+    counted = staged(rows.select("id", sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("d"), *(hits(c, w, p).alias(f"n{k}_{c}") for k, (w, p) in enumerate(terms) for c in WEIGHTS)))
     has = lambda k: sum((F.col(f"n{k}_{c}") for c in WEIGHTS), F.lit(0)) > 0
     stats = counted.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), *(F.count_if(has(k)).alias(f"df{k}") for k in range(len(terms))))
     scored = counted.crossJoin(F.broadcast(stats))
@@ -82,3 +93,22 @@ def search(items: DataFrame, query: str, limit: int = 50) -> DataFrame:
         idf = F.greatest(F.ln((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("mean")))
     return scored.where(match).select("id", score.alias("score")).orderBy("score", "id").limit(limit)
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """``term, id, n, weight``: an index of the searched columns; n occurrences in
+    all, weight their weighted sum."""
+    each = [items.select("id", F.explode(tokens(F.col(c))).alias("term"), F.lit(w).alias("w")) for c, w in WEIGHTS.items()]
+    return functools.reduce(DataFrame.unionAll, each).groupBy("term", "id").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
+
+
+def sync_postings(index: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
+    """The index after the items ``changed`` were written and the ids ``removed``
+    deleted: only their postings are made anew."""
+    old = changed.select("id").union(removed.select("id")).distinct()
+    return index.join(old, "id", "left_anti").select("term", "id", "n", "weight").unionAll(postings(changed).select("term", "id", "n", "weight"))
+
+
+def rebuilt(index: DataFrame, items: DataFrame) -> DataFrame:
+    """The index, built where it is empty and the items aren't."""
+    return postings(items) if index.isEmpty() and not items.isEmpty() else index

@@ -77,3 +77,33 @@ def alerts(items: DataFrame, rules: DataFrame) -> DataFrame:
     above = F.when(F.col("op") == ">", m > v).when(F.col("op") == ">=", m >= v).when(F.col("op") == "<", m < v).when(F.col("op") == "<=", m <= v).when(F.col("op").isin("=", "=="), m == v)
     fits = F.when(F.col("kind") == "pattern", F.col("text").contains(F.lower("pattern"))).when(F.col("kind") == "threshold", (m > 0) & above)
     return own.crossJoin(F.broadcast(rules.where("enabled"))).where(fits).select("alert_id", "pos")
+
+
+# The filters that are there from the start (enabled ones first).
+DEFAULT_PATTERNS = {
+    "Ads & Sponsored": ("/sponsored/", "/branded-content/", "/partner/", "/paid-post/", "/advertisement/", r"\[sponsored\]", r"\[ad\]", "paid content", "partner content"),
+    "Shopping & Deals": ("/deals/", "/coupons/", "/shopping/", "/reviewed/", "/underscored/", "/select/", "/blueprint/", "best.*deals", "price drop"),
+}
+DEFAULT_SEMANTIC = {"Clickbait Titles": "dim", "Breaking News Boost": "boost", "Opinion Pieces": "tag"}
+
+
+def default_rules(spark) -> DataFrame:
+    """The pattern filters, enabled, and the semantic ones, which a user enables."""
+    rows = [(k, name, "hide", "(?i)" + "|".join(f"(?:{p})" for p in patterns), True) for k, (name, patterns) in enumerate(DEFAULT_PATTERNS.items())]
+    rows += [(len(rows) + k, name, action, "", False) for k, (name, action) in enumerate(DEFAULT_SEMANTIC.items())]
+    return spark.createDataFrame(rows, "rule_id int, name string, action string, pattern string, enabled boolean")
+
+
+def rule_stats(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """``name, matches`` of each enabled rule."""
+    hit = items.join(F.broadcast(rules.where("enabled")), F.expr("coalesce(url, '') rlike pattern OR coalesce(title, '') rlike pattern OR coalesce(summary, '') rlike pattern"))
+    return rules.select("name").join(hit.groupBy("name").agg(F.count("*").alias("n")), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("matches"))
+
+
+def shown(items: DataFrame, modes: DataFrame) -> DataFrame:
+    """The items that their source's mode (source_name, mode, exposure) lets be
+    seen: live and auto all, off none, sample the share ``exposure``, by a hash of
+    the id, so that an item is seen always or never. Other sources: all."""
+    share = F.pmod(F.crc32(F.encode(F.col("id"), "UTF-8")), F.lit(1000)) / 1000
+    own = items.join(modes.select("source_name", "mode", "exposure"), "source_name", "left")
+    return own.where(F.col("mode").isNull() | F.col("mode").isin("live", "auto") | ((F.col("mode") == "sample") & (share < F.col("exposure")))).select(items.columns)

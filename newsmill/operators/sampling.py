@@ -12,7 +12,8 @@ def limit_per_source(items: DataFrame, n: int) -> DataFrame:
     if n <= 0:
         return items.limit(0)
     own = W.partitionBy("source_name").orderBy(F.desc("published"), "pos")
-    return items.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= n).drop("_n")
+    kept = items.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= n).drop("_n")
+    return kept.orderBy(F.desc("published"), "pos")
 
 
 def first_per_group(items: DataFrame, group: Column, n: Column | int, order: list) -> DataFrame:

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="newsmill-")
+
+
 def staged(df: DataFrame) -> DataFrame:
+    """df written to the folder in ``spark.checkpoint.dir`` and read back. Where
+    that is unset, an own folder, in local mode only."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="newsmill-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = _own_dir(spark.sparkContext.applicationId)
     path = f"{top.rstrip('/')}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

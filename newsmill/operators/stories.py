@@ -36,12 +36,14 @@ def velocity(snapshots: DataFrame) -> DataFrame:
 
 
 def error_streaks(log: DataFrame) -> DataFrame:
-    """``source, errors``: errors since the last success of (source, at, ok)."""
-    last = W.partitionBy("source")
-    return log.withColumn("good", F.max(F.when(F.col("ok"), F.col("at"))).over(last)).groupBy("source").agg(F.count_if(~F.col("ok") & (F.col("good").isNull() | (F.col("at") > F.col("good")))).alias("errors"))
+    """``source, errors``: errors since the last success of (source, at, ok). The
+    last successes are a grouped maximum; no window holds a source's log."""
+    good = log.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("good"))
+    late = F.col("good").isNull() | (F.col("at") > F.col("good"))
+    return log.join(good, "source").groupBy("source").agg(F.count_if(~F.col("ok") & late).alias("errors"))
 
 
-def parts_of(own: DataFrame, rounds: int = 64) -> DataFrame:
+def parts_of(own: DataFrame) -> DataFrame:
     """``pos, part`` for each item of (pos, entity_id); the part is the least item
     that entities join it with. Each round all items of a label take the least
     label that one of them meets, then the label of that item (a jump)."""
@@ -49,7 +51,7 @@ def parts_of(own: DataFrame, rounds: int = 64) -> DataFrame:
 
     own = staged(own.select("pos", "entity_id").distinct())
     label = staged(own.select("pos", F.col("pos").alias("part")).distinct())
-    for _ in range(rounds):
+    while True:
         least = own.where("entity_id IS NOT NULL").join(label, "pos").groupBy("entity_id").agg(F.min("part").alias("least"))
         near = own.join(least, "entity_id").join(label, "pos")
         hook = staged(near.groupBy("part").agg(F.min("least").alias("to")))
@@ -58,7 +60,6 @@ def parts_of(own: DataFrame, rounds: int = 64) -> DataFrame:
         to = staged(label.join(hook, "part", "left").select("pos", F.coalesce("to", "part").alias("part")))
         jump = to.select(F.col("pos").alias("part"), F.col("part").alias("far"))
         label = staged(to.join(jump, "part").select("pos", F.col("far").alias("part")))
-    raise RuntimeError(f"parts of items did not settle in {rounds} rounds")
 
 
 def assign_clusters(entities: DataFrame, hours: int = 48) -> DataFrame:

@@ -14,6 +14,8 @@ from newsmill.sources import items as src
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: The functions of items behind the queries of ``on_items``.
+OF_ITEMS: dict = {}
 c = F.col
 
 
@@ -36,6 +38,7 @@ def on_items(name: str, sql: str | None = None, more: str = ""):
     """Register a function of the items."""
 
     def add(f):
+        OF_ITEMS[name] = f
         QUERIES[name] = lambda spark, d: f(src.items(spark, d))
         if sql:
             SQL[name] = WITH + more + " " + sql
@@ -112,20 +115,11 @@ on_items("select_or", f"SELECT id FROM items WHERE source_name = 'src3' OR {AGE_
 on_items("select_not", "SELECT id FROM items WHERE NOT (source_name = 'src3')")(lambda i: ids(i.where(~(c("source_name") == "src3"))))
 on_items("recent_items", f"SELECT id FROM items WHERE published > {T} - INTERVAL 3 HOUR")(lambda i: ids(i.where(c("published") > now() - F.expr("INTERVAL 3 HOURS"))))
 on_items("exclude_item", "SELECT id FROM items WHERE id <> '5'")(lambda i: ids(i.where("id <> '5'")))
-on_both("score_threshold", "SELECT vec_id, embedding[1] AS score FROM embeddings WHERE embedding[1] >= 0.1")(lambda i, v: v.select(c("id").cast("bigint").alias("vec_id"), c("embedding")[0].alias("score")).where("score >= 0.1"))
-on_items("ad_filter", f"SELECT id, coalesce(regexp_matches(t, '(?i)^sponsored:|\\d+%\\s*off') OR pos % 9 = 4, false) AS blocked FROM (SELECT id, pos, CASE pos % 9 WHEN 1 THEN 'Sponsored: ' || title WHEN 2 THEN title || ' 50% off' WHEN 4 THEN '' ELSE 'x' END AS t FROM items)")(
-    lambda i: i.select("id", rules.is_ad(F.when(c("pos") % 9 == 1, F.concat(F.lit("Sponsored: "), "title")).when(c("pos") % 9 == 2, F.concat("title", F.lit(" 50% off"))).when(c("pos") % 9 == 4, "").otherwise("x"), F.lit(""), c("url"), c("source_name")).alias("blocked"))
-)
-on_items("ad_filter_count", "SELECT count_if(pos % 4 = 1) AS blocked, count_if(pos % 4 <> 1) AS kept FROM items")(
-    lambda i: i.select(rules.is_ad(F.lit("x"), F.lit(""), F.when(c("pos") % 4 == 1, F.concat("url", F.lit("/promo/"))).otherwise(c("url")), c("source_name")).alias("b")).agg(F.count_if("b").alias("blocked"), F.count_if(~c("b")).alias("kept"))
-)
 RULES = "(1, 'tions', 'highlight', '(?i)tion', true), (2, 'wide', 'hide', 'ciónm', true), (3, 'off', 'hide', 't', false)"
 on_items(
     "curation_filter",
     "SELECT pos, CASE WHEN two THEN 'hide' ELSE 'highlight' END AS action, concat_ws(',', CASE WHEN one THEN 'tions' END, CASE WHEN two THEN 'wide' END) AS filters FROM (SELECT pos, regexp_matches(url, '(?i)tion') OR regexp_matches(title, '(?i)tion') OR regexp_matches(summary, '(?i)tion') AS one, contains(url, 'ciónm') OR contains(title, 'ciónm') OR contains(summary, 'ciónm') AS two FROM items) WHERE one OR two",
 )(lambda i: rules.curate(i, i.sparkSession.sql(f"SELECT * FROM VALUES {RULES} AS t(rule_id, name, action, pattern, enabled)")))
-on_items("filter_entity", "SELECT DISTINCT id FROM items WHERE pos % 5 = 2")(lambda i: ids(i.join(entities.entities(i.select("pos", F.when(c("pos") % 5 == 2, "$AAPL up").otherwise("none").alias("title"), F.lit("").alias("summary"))).where("entity_id = 'ticker:AAPL'").select("pos"), "pos", "left_semi")))
-
 # projections and scalar functions
 on_items("project_item", "SELECT pos, substr(sha256(id), 1, 16) AS id, CASE WHEN length(summary) > 500 THEN substr(summary, 1, 497) || '...' ELSE summary END AS summary, 'a' AS author FROM items")(
     lambda i: src.from_records(i.select("pos", "id", c("source_name").alias("source"), "title", F.lit("").alias("summary"), c("summary").alias("content"), "url", F.lit("").alias("author"), F.array(F.lit("a"), F.lit("b")).alias("authors"), "published", "fetched")).select(c("id"), "summary", "author").join(i.select(tx.item_id(c("id")).alias("id"), "pos"), "id").select("pos", "id", "summary", "author")
@@ -156,7 +150,6 @@ on_items("is_breaking", f"SELECT pos, {AGE_SQL} / 60 <= 30 AND (source_type = 'd
 on_items("contains_word", "SELECT pos, regexp_matches(summary, '(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS b FROM items")(lambda i: i.select("pos", tx.contains_word(c("summary"), "the").alias("b")))
 on_items("slug_id", "SELECT pos, replace(lower(title), ' ', '-') AS t FROM items")(lambda i: i.select("pos", tx.slug_id(c("title")).alias("t")))
 on_items("item_id", "SELECT pos, substr(sha256(url), 1, 16) AS t FROM items")(lambda i: i.select("pos", tx.item_id(c("url")).alias("t")))
-on_items("fnv32a")(lambda i: i.select("pos", tx.fnv32a(c("url")).alias("h")))
 BAND = f"CASE WHEN {AGE_SQL} < 900 THEN 'Just Now' WHEN {AGE_SQL} < 3600 THEN 'Past Hour' WHEN {AGE_SQL} < 86400 THEN 'Today' WHEN {AGE_SQL} < 172800 THEN 'Yesterday' ELSE 'Older' END"
 on_items("time_band", f"SELECT pos, {BAND} AS band FROM items")(lambda i: i.select("pos", sc.time_band(age()).alias("band")))
 _w = lambda n, u: f"CAST(CAST(floor({AGE_SQL} / {n}) AS BIGINT) AS VARCHAR) || '{u}'"
@@ -165,7 +158,6 @@ on_items("age_weeks", f"SELECT pos, CASE WHEN {AGE_SQL} < 60 THEN 'now' WHEN {AG
 on_log("dur_precision", "SELECT seq, CASE WHEN dur_ms >= 100 THEN 0 WHEN dur_ms >= 1 THEN 1 ELSE 2 END AS p FROM log")(lambda e: e.select("seq", sc.dur_precision(c("dur_ms")).alias("p")))
 on_log("clamp", "SELECT seq, least(greatest(dur_ms / 50, 0.0), 1.0) AS v FROM log")(lambda e: e.select("seq", sc.clamp(c("dur_ms") / 50).alias("v")))
 on_items("activity_bars", "SELECT source_name, CASE WHEN n >= 10 THEN 4 WHEN n >= 5 THEN 3 WHEN n >= 2 THEN 2 WHEN n >= 1 THEN 1 ELSE 0 END AS bars FROM (SELECT source_name, count(*) AS n FROM items GROUP BY 1)")(lambda i: i.groupBy("source_name").agg(sc.activity_bars(F.count("*")).alias("bars")))
-on_rows("parse_score_text", "s string", "('Yes.'), ('no way'), ('maybe'), ('0.73 or so'), ('score 7'), ('<think>no</think>yes'), ('nothing'), ('')", "SELECT s, map {'Yes.': 1.0, 'no way': 0.0, 'maybe': 0.5, '0.73 or so': 0.73, 'score 7': 1.0, '<think>no</think>yes': 1.0, 'nothing': 0.5, '': 0.5}[s]::DOUBLE AS v FROM t")(lambda t: t.select("s", tx.parse_score(c("s")).cast("double").alias("v")))
 on_log("event_to_json", """SELECT seq, '{"kind":"' || kind || '","level":"' || level || '"}' AS j FROM log""")(lambda e: e.select("seq", F.to_json(F.struct("kind", "level", F.nullif(F.lit(""), F.lit("")).alias("err"))).alias("j")))
 on_items("embed_mock", "SELECT pos, [CAST(b + 0.1 AS FLOAT), CAST(b + 0.2 AS FLOAT), CAST(b + 0.3 AS FLOAT)][2] AS v FROM (SELECT pos, (list_sum([ascii(x) FOR x IN string_split(url, '')]) % 97) / 97.0 AS b FROM items)")(lambda i: i.select("pos", models.byte_sum_vector(c("url"))[1].alias("v")))
 
@@ -184,10 +176,6 @@ on_items("category_stats", "SELECT source_type AS category, sum(n) AS items FROM
 on_items("source_activity", f"SELECT source_name, count_if({AGE_SQL} < 3600) AS recent, CAST(min({AGE_SQL}) AS BIGINT) AS last FROM items GROUP BY 1")(lambda i: i.groupBy("source_name").agg(F.count_if(age() < 3600).alias("recent"), F.min(age()).cast("bigint").alias("last")))
 on_log("event_kind_counts", "SELECT kind, count(*) AS n FROM (SELECT * FROM log ORDER BY seq DESC LIMIT 1024) GROUP BY 1")(lambda e: e.orderBy(F.desc("seq")).limit(1024).groupBy("kind").agg(F.count("*").alias("n")))
 on_log("pipeline_overlay_stats", "SELECT count_if(kind = 'click') AS clicks, count_if(kind = 'error') AS errors, count_if(kind = 'signup') AS signups, count(*) AS events FROM log")(lambda e: e.agg(F.count_if(c("kind") == "click").alias("clicks"), F.count_if(c("kind") == "error").alias("errors"), F.count_if(c("kind") == "signup").alias("signups"), F.count("*").alias("events")))
-on_log("rerank_buckets", "SELECT count_if(dur_ms >= 70) AS high, count_if(dur_ms <= 30) AS low, count_if(dur_ms > 30 AND dur_ms < 70) AS mid FROM log")(lambda e: e.agg(F.count_if(c("dur_ms") >= 70).alias("high"), F.count_if(c("dur_ms") <= 30).alias("low"), F.count_if((c("dur_ms") > 30) & (c("dur_ms") < 70)).alias("mid")))
-on_log("top_entities", "SELECT qid AS entity_id, count(*) AS n FROM log GROUP BY 1 ORDER BY n DESC, entity_id LIMIT 20")(lambda e: e.groupBy(c("qid").alias("entity_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_id").limit(20))
-on_items("queue_stats", "SELECT source_name, count(*) AS n FROM items GROUP BY ROLLUP (source_name)")(lambda i: i.rollup("source_name").agg(F.count("*").alias("n")))
-
 # windows, order and limits
 on_items("limit_per_source", "SELECT id FROM items QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 5")(lambda i: ids(sampling.limit_per_source(i, 5)))
 on_items("source_balance", "SELECT id FROM items QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY pos) <= 10")(lambda i: ids(sampling.first_per_group(i, c("source_name"), 10, ["pos"])))
@@ -201,9 +189,6 @@ on_log("event_filter", "SELECT seq FROM log WHERE starts_with(kind, 'si') AND le
 _V = "count(*) OVER (PARTITION BY kind ORDER BY epoch(date_trunc('second', t)) RANGE BETWEEN {} PRECEDING AND {})"
 on_log("velocity_rates", f"SELECT seq, round({_V.format(900, 'CURRENT ROW')} / 0.25, 6) AS r15, round({_V.format(3600, 'CURRENT ROW')} / 1.0, 6) AS r1, round({_V.format(21600, 'CURRENT ROW')} / 6.0, 6) AS r6 FROM log")(lambda e: stories.velocity(e.select("seq", c("kind").alias("cluster"), c("t").alias("ts"))).select("seq", F.round("rate15m", 6).alias("r15"), F.round("rate1h", 6).alias("r1"), F.round("rate6h", 6).alias("r6")))
 on_log("velocity_baseline", f"SELECT seq, round(CASE WHEN n > 0 THEN n / 23.0 ELSE 1.0 END, 6) AS b FROM (SELECT seq, {_V.format(86400, '3601 PRECEDING')} AS n FROM log)")(lambda e: stories.velocity(e.select("seq", c("kind").alias("cluster"), c("t").alias("ts"))).select("seq", F.round("baseline", 6).alias("b")))
-on_log("sparkline", "SELECT kind, [round(x / list_max(l), 6) FOR x IN l] AS line FROM (SELECT kind, list(n::DOUBLE ORDER BY day) AS l FROM (SELECT kind, date_trunc('day', t) AS day, count(*) AS n FROM log GROUP BY ALL) GROUP BY 1)")(
-    lambda e: e.groupBy("kind", F.date_trunc("day", "t").alias("day")).agg(F.count("*").cast("double").alias("n")).groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "n"))), lambda x: x["n"]).alias("l")).select("kind", F.transform("l", lambda x: F.round(x / F.array_max("l"), 6)).alias("line"))
-)
 on_log("consecutive_errors", "SELECT qid AS source, count_if(kind = 'error' AND (good IS NULL OR seq > good)) AS errors FROM (SELECT *, max(CASE WHEN kind <> 'error' THEN seq END) OVER (PARTITION BY qid) AS good FROM log) GROUP BY 1")(lambda e: stories.error_streaks(e.select(c("qid").alias("source"), c("seq").alias("at"), (c("kind") != "error").alias("ok"))))
 on_items("sort_chronological", "SELECT id FROM items ORDER BY published DESC, pos LIMIT 300")(lambda i: ids(i.orderBy(F.desc("published"), "pos").limit(300)))
 on_items("evict_oldest", "SELECT id FROM items ORDER BY coalesce(published, fetched) DESC, pos LIMIT 400")(lambda i: ids(i.orderBy(F.desc(F.coalesce("published", "fetched")), "pos").limit(400)))
@@ -222,17 +207,11 @@ on_items("upsert_items_v4", "SELECT id, CASE WHEN pos < 300 THEN 'new' ELSE titl
 )
 on_items("mark_read", "SELECT id, read OR pos % 7 = 0 AS read FROM items")(lambda i: i.join(i.where("pos % 7 = 0").select("id", F.lit(True).alias("flag")), "id", "left").select("id", F.coalesce("flag", "read").alias("read")))
 on_items("mark_saved", "SELECT id, CASE WHEN pos % 11 = 0 THEN false ELSE saved END AS saved FROM items")(lambda i: i.join(i.where("pos % 11 = 0").select("id", F.lit(False).alias("flag")), "id", "left").select("id", F.coalesce("flag", "saved").alias("saved")))
-on_log("update_source_status", "SELECT qid AS name, count(*) AS fetches, max_by(kind, seq) AS last FROM log GROUP BY 1")(lambda e: e.groupBy(c("qid").alias("name")).agg(F.count("*").alias("fetches"), F.max_by("kind", "seq").alias("last")))
-on_log("analysis_history", "SELECT qid, seq AS latest FROM log QUALIFY row_number() OVER (PARTITION BY qid ORDER BY t DESC, seq DESC) = 1")(lambda e: e.groupBy("qid").agg(F.max(F.struct("t", "seq"))["seq"].alias("latest")))
-
 # rankers
 R6 = lambda x: F.round(x, 6)
 on_items("rank_freshness", f"SELECT pos, round(pow(0.5, greatest({AGE_SQL}, 0) / 3600), 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.freshness(age())).alias("s")))
 on_items("rank_source_weight", "SELECT pos, least(coalesce(CASE source_name WHEN 'src1' THEN 3.0 WHEN 'src2' THEN 0.5 END, 1.0) / 2, 1.0)::DOUBLE AS s FROM items")(lambda i: i.select("pos", sc.source_weight(F.when(c("source_name") == "src1", 3.0).when(c("source_name") == "src2", 0.5)).alias("s")))
 on_items("rank_diversity", "SELECT pos, round(CASE WHEN n < 3 THEN 1.0 ELSE pow(0.7, n - 3) END, 6) AS s FROM (SELECT pos, row_number() OVER (PARTITION BY source_name ORDER BY pos) - 1 AS n FROM items)")(lambda i: i.select("pos", (F.row_number().over(W.partitionBy("source_name").orderBy("pos")) - 1).alias("n")).select("pos", R6(sc.diversity(c("n"))).alias("s")))
-on_items("rank_cluster", "SELECT pos, round(CASE WHEN n < 2 THEN 0.5 ELSE 0.5 + 0.5 * (1 - 1.0 / n) END, 6) AS s FROM (SELECT pos, pos % 6 AS n FROM items)")(lambda i: i.select("pos", R6(sc.cluster_score(c("pos") % 6)).alias("s")))
-on_items("rank_entity", "SELECT pos, round(CASE WHEN n = 0 THEN 0.5 ELSE 0.5 + 0.4 * (1 - 1.0 / (n + 1)) END, 6) AS s FROM (SELECT pos, pos % 6 AS n FROM items)")(lambda i: i.select("pos", R6(sc.entity_score(c("pos") % 6)).alias("s")))
-on_items("rank_breaking", f"SELECT pos, round(CASE WHEN {AGE_SQL} > 1800 THEN 0.5 WHEN pos % 2 = 0 THEN 0.7 + 0.3 * (1 - {AGE_SQL} / 1800) ELSE 0.5 END, 6) AS s FROM items")(lambda i: i.select("pos", R6(sc.breaking_score(F.when(c("pos") % 2 == 0, "Just in: x").otherwise("x"), age())).alias("s")))
 on_items("rank_read_state", "SELECT pos, CASE WHEN read THEN 0.7 ELSE 1.0 END::DOUBLE AS s FROM items")(lambda i: i.select("pos", sc.read_score(c("read")).alias("s")))
 default = lambda: [(sc.freshness(age()), 3.0), (sc.source_weight(F.lit(1.0)), 1.5), (sc.breaking_score(c("title"), age()), 2.0), (sc.read_score(c("read")), 0.5)]
 _dsql = f"(3 * pow(0.5, {AGE_SQL} / 3600) + 1.5 * 0.5 + 2 * 0.5 + 0.5 * CASE WHEN read THEN 0.7 ELSE 1.0 END) / 7.0"
@@ -274,12 +253,9 @@ on_both(
 )(lambda i, v: dedup.semantic_dedup(i, v, 0.35).select("pos"))
 on_items("save_items", "SELECT pos FROM r WHERE kept AND pos >= 0", ", k AS MATERIALIZED (SELECT pos - 300 AS pos, ['i' || id, 'u' || url] AS keys FROM items WHERE pos >= 300), h AS (SELECT list('i' || id) || list('u' || url) AS have FROM items WHERE pos < 300), r AS (SELECT -1::BIGINT AS pos, (SELECT have FROM h) AS have, true AS kept UNION ALL SELECT k.pos, CASE WHEN list_has_any(r.have, k.keys) THEN r.have ELSE list_concat(r.have, k.keys) END, NOT list_has_any(r.have, k.keys) FROM r JOIN k ON k.pos = r.pos + 1)")(lambda i: dedup.save_items(i.where("pos >= 300"), i.where("pos < 300")).select((c("pos") - 300).alias("pos")))
 on_items("title_prefix_dedup", "SELECT id FROM items QUALIFY row_number() OVER (PARTITION BY substr(lower(title), 1, 40) ORDER BY pos) = 1 OR title = ''")(lambda i: ids(dedup.first_by_key(i, F.substring(F.lower("title"), 1, 40))))
-on_items("simhash")(lambda i: i.select("pos", tx.simhash(c("title")).alias("h")))
 on_items("simhash_groups")(lambda i: dedup.simhash_groups(i).groupBy("primary").agg(F.count("*").alias("n")))
 on_both("ann_groups", None)(lambda i, v: dedup.chained_groups(v.select(c("id").cast("bigint").alias("pos"), "embedding"), 0.68))
 on_log("hamming", "SELECT seq, bit_count(xor(seq, seq * 7))::INT AS d FROM log")(lambda e: e.select("seq", tx.hamming(c("seq"), c("seq") * 7).cast("int").alias("d")))
-on_log("are_duplicates", "SELECT seq, (64 - bit_count(xor(seq, seq * 7))) / 64.0 >= 0.9 AS dup FROM log")(lambda e: e.select("seq", ((64 - tx.hamming(c("seq"), c("seq") * 7)) / 64.0 >= 0.9).alias("dup")))
-
 # samplers
 on_items("sample_round_robin", "SELECT id FROM (SELECT id, source_name, row_number() OVER (PARTITION BY source_name ORDER BY pos) AS rn FROM items) ORDER BY rn, source_name LIMIT 45")(lambda i: ids(sampling.round_robin(i, 45)))
 on_items("sample_recency", "SELECT id FROM items ORDER BY published DESC, pos LIMIT 60")(lambda i: ids(i.orderBy(F.desc("published"), "pos").limit(60)))
@@ -287,7 +263,6 @@ on_items("sample_fair_recent", f"SELECT id FROM (SELECT * FROM items WHERE publi
 on_items("sample_throttled", "SELECT id FROM (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 3) ORDER BY published DESC, pos LIMIT 40")(lambda i: ids(sampling.throttled(i, 40)))
 on_items("sample_deficit_rr")(lambda i: ids(sampling.scheduled(i, {"src1": 2.0, "src2": 0.5}, 60), "place"))
 on_items("sample_weighted_rr")(lambda i: ids(sampling.scheduled(i, {"src1": 2.0, "src2": 0.5}, 60, "weighted"), "place"))
-on_log("due_sources", f"SELECT qid FROM log GROUP BY 1 HAVING max(t) < {T} - INTERVAL 15 HOUR")(lambda e: e.groupBy("qid").agg(F.max("t").alias("last")).where(c("last") < now() - F.expr("INTERVAL 15 HOURS")).select("qid"))
 on_log("due_sources_backoff", f"SELECT qid FROM log GROUP BY 1 HAVING epoch({T}) - epoch(max(t)) >= 60 * (5 + least(count_if(kind = 'error') * count_if(kind = 'error'), 30))")(lambda e: e.groupBy("qid").agg(F.max("t").alias("last"), F.count_if(c("kind") == "error").alias("n")).where(sc.seconds(now(), c("last")) >= 60 * (5 + F.least(c("n") * c("n"), F.lit(30)))).select("qid"))
 
 # lexical search
@@ -310,13 +285,7 @@ SQL["fts_query_language"] = WITH + _bm25(["los", "und"], False)
 QUERIES["fts_query_language"] = lambda spark, d: lexical.search(src.items(spark, d), "los OR und").select("id", R6(c("score")).alias("score"))
 
 # entities, claims, alerts
-on_items("extract_tickers", "SELECT pos, CASE WHEN pos % 2 = 0 THEN ['AAPL', 'BRK.B'] ELSE [] END::VARCHAR[] AS t FROM items")(lambda i: i.select("pos", entities.tickers(F.when(c("pos") % 2 == 0, "Buy $AAPL, $BRK.B and $AAPL").otherwise(c("title"))).alias("t")))
-on_items("extract_countries", "SELECT pos, CASE WHEN pos % 2 = 0 THEN ['china', 'united_states'] ELSE [] END::VARCHAR[] AS t FROM items")(lambda i: i.select("pos", entities.countries(F.when(c("pos") % 2 == 0, "The U.S. and Beijing").otherwise("panamericana")).alias("t")))
-on_items("extract_attribution", "SELECT pos, CASE pos % 3 WHEN 0 THEN 'Reuters' WHEN 1 THEN 'sources' END AS a FROM items")(lambda i: i.select("pos", entities.attribution(F.when(c("pos") % 3 == 0, "He left, according to Reuters").when(c("pos") % 3 == 1, "He left, citing sources").otherwise("x")).alias("a")))
-on_items("extract_entities", "SELECT pos, 'ticker:T' || (pos % 3 = 0)::INT AS entity_id, 0.9::DOUBLE AS salience FROM items WHERE pos % 3 = 0 AND false UNION ALL SELECT pos, 'ticker:XOM', 0.9 FROM items WHERE pos % 4 = 1 UNION ALL SELECT pos, 'country:japan', 0.7 FROM items WHERE pos % 4 = 1")(
-    lambda i: entities.entities(i.select("pos", F.when(c("pos") % 4 == 1, "$XOM in Tokyo").otherwise("").alias("title"), F.lit("").alias("summary"))).select("pos", "entity_id", c("salience").cast("double").alias("salience"))
-)
-# the extractors over whole titles and summaries; those above are on fixed texts
+# the extractors over whole titles and summaries
 TEXT = "concat_ws(' ', title, summary)"
 whole_text = lambda: F.concat_ws(" ", "title", "summary")
 _lit = lambda p: p.replace("'", "''")
@@ -350,6 +319,4 @@ on_items("cluster_assign")(item_clusters)
 on_items("items_conflicts")(lambda i: entities.item_conflicts(i, item_clusters(i)))
 
 # composed views
-on_items("feed_stats", f"SELECT source_name, count(*) AS n FROM (SELECT source_name FROM items WHERE NOT read AND published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 50) GROUP BY 1")(lambda i: sampling.limit_per_source(i.where(~c("read") & (c("published") > now() - F.expr("INTERVAL 24 HOURS"))), 50).groupBy("source_name").agg(F.count("*").alias("n")))
-on_both("feed_view", None)(lambda i, v: ids(sampling.limit_per_source(dedup.semantic_dedup(i.where(~c("read") & (c("published") > now() - F.expr("INTERVAL 24 HOURS"))), v, 0.85), 50)))
-on_both("search_hybrid", None)(lambda i, v: lexical.search(i, "tion with").join(ranked_by_query(i, v, "3"), "id").orderBy(F.desc_nulls_last("s"), "score").select("id", "score", R6(c("s")).alias("s")))
+on_items("feed_stats", f"SELECT source_name, count(*) AS n FROM (SELECT source_name FROM items WHERE NOT read AND published > {T} - INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY published DESC, pos) <= 50) GROUP BY 1")(lambda i: sampling.limit_per_source(i.where(~c("read") & (c("published") > now() - F.expr("INTERVAL 24 HOURS"))), 50).groupBy("source_name").agg(F.count("*").alias("n")))
\ No newline at end of file
