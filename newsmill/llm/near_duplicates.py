@@ -8,10 +8,9 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsmill.llm._common import chunks, groups, staged, table, text_column, tune
+from newsmill.llm._common import FEW_ROWS, HOT, chunks, groups, hot_join, new_path, scratch, staged, table, text_column, tune
 from newsmill.llm._components import components
 from newsmill.llm._words import hashes, mix, shingles, spans
 
@@ -24,6 +23,9 @@ ROWS = 6
 BLOCK = 1_500_000
 LEAST = 500
 SMALLEST = -(2**63)
+#: A group of more than TEAM texts is cut into blocks of about TEAM for several
+#: tasks, up to TEAMS of them; beyond that blocks grow, then BLOCK bounds them.
+TEAM, TEAMS = 96, 32
 #: A shingle in more texts of a block than this is counted by matrix products.
 DENSE = 24
 #: Rows of a block that are compared at once.
@@ -162,16 +164,22 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     Copies are one class from the start, by a grouped minimum. Band hashes of
     classes are shuffled; the classes of a bucket are tied to its least, never
     paired. What that ties together is a candidate group, cut into blocks of
-    bounded size; a task verifies two blocks on full sets and returns sums and a
-    spanning forest, never the pairs. A pair at the threshold is a candidate with
+    bounded size (a large group into 32 at least, so that many tasks share it); a
+    task verifies two blocks on full sets and returns sums and a spanning forest,
+    never the pairs. Counting the links of a group takes time by the square of
+    its number of different texts, as it may have that many links. A pair at the threshold is a candidate with
     the chance ``recall``, a closer pair with a higher one.
 
     Null texts are empty. A text of 1 to size-1 words has one shingle; texts
     without words are linked to equal texts only. Null ids work as the least id
-    and stay null; rows with a repeated id are documents of their own."""
-    signed, whole = _joined(docs, similarity, recall, rows, size)
+    and stay null; rows with a repeated id are documents of their own. An empty
+    table gives no rows; other columns don't matter."""
+    path = new_path(docs.sparkSession, "joined")
     null = lambda c: F.nullif(F.col(c), F.lit(SMALLEST))
-    return signed.select("key", "digest").join(whole.drop("first"), "digest").select(null("key").alias("doc_id"), null("class_id").alias("class_id"), "n_links", "n_copies")
+    with scratch(docs.sparkSession):
+        signed, whole = _joined(docs, similarity, recall, rows, size)
+        found = hot_join(signed.select("key", "digest"), whole.drop("first"), "digest")
+        return staged(found.select(null("key").alias("doc_id"), null("class_id").alias("class_id"), "n_links", "n_copies"), "joined", path)
 
 
 def _keys(docs: DataFrame) -> tuple:
@@ -205,13 +213,17 @@ def _joined(docs: DataFrame, similarity: float, recall: float, rows: int, size:
     classes = staged(signed.groupBy("digest").agg(F.min(F.struct("key", "sum", "n", "bands")).alias("m"), F.count("*").alias("copies")).select("digest", F.col("m.key").alias("rep"), F.col("m.sum").alias("sum"), F.col("m.n").alias("n"), "copies", F.col("m.bands").alias("bands")), "classes")
 
     bucket = classes.select("digest", F.explode("bands").alias("band"))
-    star = bucket.withColumn("least", F.min("digest").over(W.partitionBy("band"))).where("least <> digest")
+    shared = staged(bucket.groupBy("band").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r.band for r in shared.where(F.col("n") > max(FEW_ROWS, total / HOT)).collect()]  # fewer than HOT
+    star = hot_join(bucket, shared.drop("n"), "band", hot=hot).where("least <> digest")
     group = components(star.select(F.col("least").alias("a"), F.col("digest").alias("b")))
 
     weight = F.greatest(F.col("n"), F.lit(LEAST))
     member = group.withColumnRenamed("node", "digest").join(classes.drop("bands"), "digest")
-    blocks = member.groupBy("component").agg(F.ceil(F.sum(weight) / F.lit(BLOCK)).alias("blocks"))
-    member = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    spread = F.least(F.ceil(F.count("*") / F.lit(TEAM)), F.lit(TEAMS))
+    blocks = member.groupBy("component").agg(F.greatest(F.ceil(F.sum(weight) / F.lit(BLOCK)), spread).alias("blocks"))
+    member = hot_join(member, blocks, "component").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
     texts = member.select("component", "digest", "copies", "blocks", "block", F.col("rep").alias("key"), "sum").join(source, ["key", "sum"]).dropDuplicates(["key", "sum"])
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     dealt = texts.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "copies", "text")
@@ -246,7 +258,7 @@ def _joined(docs: DataFrame, similarity: float, recall: float, rows: int, size:
     whole = classes.select("digest", "rep", "sum", "copies").join(degree, "digest", "left").join(label.withColumnsRenamed({"node": "digest", "component": "root"}), "digest", "left")
     whole = whole.withColumn("root", F.coalesce("root", "digest"))
     least = whole.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("key"), "digest", "sum")).alias("first"))
-    return signed, whole.join(least, "root").select("digest", "first", F.col("first.key").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    return signed, hot_join(whole, least, "root").select("digest", "first", F.col("first.key").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
 
 
 def _links(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
@@ -255,7 +267,8 @@ def _links(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each class one row stays whole,
-    that with the least doc_id (null first), then the least digest."""
+    that with the least doc_id (null first), then the least digest. Null texts
+    are empty and one class; columns of any name stay as they are."""
     kept = _joined(docs, SIMILARITY, RECALL, ROWS, SIZE)[1].select(F.col("first.key").alias("__key"), F.col("first.sum").alias("__sum")).distinct()
     key, total = _keys(docs)
     keyed = docs.withColumns({"__key": key, "__sum": total})
@@ -263,4 +276,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; edge cases as ``join`` says."""
     return join(table(spark, sf_dir, "documents"))
