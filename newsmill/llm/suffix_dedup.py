@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmill.llm._common import chunks, groups, new_path, staged, table, text_column, tune
+from newsmill.llm._common import chunks, groups, new_path, scratch, staged, table, text_column, tune
 
 LENGTH = 50
 #: Bytes of text in one row of the staged texts (or one longer text).
@@ -287,9 +287,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, bu
     are empty; rows of one id don't remove each other's bytes.
 
     A task holds one staged row (``chunk``) or one bucket; the number of buckets
-    grows with the text."""
+    grows with the text. Empty tables give no rows, repeated rows keep a row each
+    and other columns don't matter. The texts' table and what lies between are
+    dropped when the result is written to the shared folder."""
     spark = docs.sparkSession
     tune(spark)
+    path, name = new_path(spark, "cut"), f"newsmill_{uuid.uuid4().hex}"
+    with scratch(spark):
+        try:
+            return staged(_removed(docs, name, length, chunk, bucket, shard, hot), "cut", path)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _removed(docs: DataFrame, name: str, length: int, chunk: int, bucket: int, shard: int, hot: int) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST)).alias("key"), text_column(docs).alias("text"))
 
     def stage(batches):
@@ -300,7 +312,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, bu
             number += 1
 
     # A table in buckets by chunk: the two joins below don't shuffle the texts.
-    name = f"newsmill_{uuid.uuid4().hex}"
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made = rows.mapInArrow(stage, "chunk bigint, bytes bigint, ids binary, offsets binary, data binary")
     made.write.bucketBy(width, "chunk").option("path", new_path(spark, "texts")).option("compression", "none").format("parquet").saveAsTable(name)
@@ -399,4 +410,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, bu
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; edge cases as ``remove_repeats`` says."""
     return remove_repeats(table(spark, sf_dir, "documents"))
