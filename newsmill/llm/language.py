@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmill.llm._common import chunks, groups, staged, table, text_column, tune
-from newsmill.llm._words import MULTIPLIER, hashes, mix, spans
+from newsmill.llm._words import MULTIPLIER, Finder, hashes, mix, spans
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most languages that a model holds (its size is this times the vocabulary).
@@ -27,7 +27,7 @@ _vocabularies: dict[str, "Vocabulary"] = {}
 
 
 class Vocabulary:
-    """The pieces as byte strings, and tables that find the piece of a hash."""
+    """The pieces as byte strings, and what finds the piece of a hash."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -46,20 +46,7 @@ class Vocabulary:
         self.lengths = sorted({len(k) for k in kept})
         self.ids = np.array(list(kept.values()), np.int64)
         self.keys = np.array([self._hash(k) for k in kept], np.uint64)
-        if len(set(self.keys.tolist())) != len(self.keys):
-            raise ValueError("two pieces have one hash")
-        self.tables: list[tuple[np.ndarray, int, int]] = []
-        left, shift = np.arange(len(self.keys)), 0
-        while len(left):
-            size = max(1 << 14, 1 << int(len(left) * 8 - 1).bit_length())
-            slots = np.full(size, -1, np.int32)
-            at = ((self.keys[left] >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)
-            slots[at[::-1]] = left[::-1]
-            self.tables.append((slots, shift, size - 1))
-            left = left[slots[at] != left]
-            shift += 11
-            if len(left) and shift > 44:
-                raise ValueError("the piece tables don't settle")
+        self.finder = Finder(self.keys)
 
     @staticmethod
     def _hash(raw: bytes) -> int:
@@ -68,15 +55,6 @@ class Vocabulary:
             h = (h * MULTIPLIER + b + 1) % 2**64
         return int(mix(np.array([h ^ len(raw)], np.uint64))[0])
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Piece number (a row of ids) of each hash, or -1."""
-        out = np.full(len(key), -1, np.int64)
-        for slots, shift, mask in self.tables:
-            at = slots[((key >> np.uint64(shift)) & np.uint64(mask)).astype(np.int64)]
-            hit = (at >= 0) & (self.keys[at] == key)
-            out[hit] = at[hit]
-        return out
-
     def forward(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
         """Log-probability of each word (after a word mark) under each language;
         p: pieces by languages, in the order of ids."""
@@ -101,7 +79,7 @@ class Vocabulary:
                 start = np.flatnonzero(room[:live] >= length)
                 if not len(start):
                     break
-                piece = self.find(mix(h[start] ^ np.uint64(length)))
+                piece = self.finder.find(mix(h[start] ^ np.uint64(length)))
                 hit = piece >= 0
                 start, piece = start[hit], piece[hit]
                 word = np.searchsorted(first, start, "right") - 1
@@ -199,8 +177,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", path: str = VOCABULARY) -> tu
     return names, counts / counts.sum(axis=0) if names else counts
 
 
-def classify(docs: DataFrame, names: list[str], p: np.ndarray, path: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``, the
+def classify(docs: DataFrame, names: list[str], p: np.ndarray, path: str = VOCABULARY, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``out``, the language and the
     share of that language if all are equally likely before. A text that is
     null or has no letter is ``und`` with score 0, as is every text if no
     language was learnt. Equal scores: the first language by name."""
@@ -210,7 +188,7 @@ def classify(docs: DataFrame, names: list[str], p: np.ndarray, path: str = VOCAB
     model = docs.sparkSession.sparkContext.broadcast(p)
     from pyspark.sql import types as T
 
-    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     width = len(keep)
 
     def work(batches):
@@ -245,7 +223,7 @@ def classify(docs: DataFrame, names: list[str], p: np.ndarray, path: str = VOCAB
                 best, share = chance.argmax(axis=1), chance.max(axis=1)
             fits = letter & bool(names)
             found = pa.array([names[b] if f else "und" for b, f in zip(best, fits)], pa.string())
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], found, pa.array(np.where(fits, share, 0.0))], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], found, pa.array(np.where(fits, share, 0.0))], [*keep, *out])
 
     return rows.mapInArrow(work, schema)
 
@@ -258,11 +236,13 @@ def remainder(mod: int):
 def identify(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document. Rows are learnt
     from where the remainder of their id is known and not 2; null ids are
-    neither held out nor learnt from. Repeated rows keep a row each."""
+    neither held out nor learnt from. Repeated rows keep a row each. An empty
+    table gives no rows; other columns don't matter."""
     names, p = learn(docs.where(remainder(4) != 2), path=path)
     held = docs.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
     return classify(held, names, p, path, ["doc_id", "held_out"])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; edge cases as ``identify`` says."""
     return identify(table(spark, sf_dir, "documents"))
