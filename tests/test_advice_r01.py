@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmill.operators import entities, stories
-from newsmill.plans import catalog
+from newsmill.plans import catalog, more  # noqa: F401
 from newsmill.sources import items as src
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,10 +57,10 @@ def both(spark, name, path):
     return got, sorted(map(repr, con.sql(catalog.SQL[name]).project(", ".join(names)).fetchall()))
 
 
-@pytest.mark.parametrize("name", ["items_tickers", "items_countries", "items_attribution", "items_entities", "items_with_entity", "items_ads"])
+@pytest.mark.parametrize("name", ["extract_tickers", "extract_countries", "extract_attribution", "extract_entities", "filter_entity", "ad_filter"])
 def test_extractors_read_whole_texts(spark, tmp_path, name):
     got, want = both(spark, name, news(spark, tmp_path))
-    assert got == want and len(set(got)) >= (1 if name == "items_with_entity" else 2)
+    assert got == want and len(set(got)) >= (1 if name == "filter_entity" else 2)
     got, want = both(spark, name, SMALL)
     assert got == want
 
@@ -68,11 +68,11 @@ def test_extractors_read_whole_texts(spark, tmp_path, name):
 def test_claims_and_conflicts_of_items(spark, tmp_path):
     texts = ["Quake in Tokyo\n10 million people. The mayor said that it was a quake of old days", "Tokyo shaken\n20 million people. The minister denied that there was any quake at all; rain will be over by tomorrow noon", 'Elsewhere\n90 million, "a quote of some length"; he says he saw all of it and she said nothing of that', None]
     path = news(spark, tmp_path, texts)
-    got, want = both(spark, "items_claims", path)
+    got, want = both(spark, "extract_claims", path)
     assert got == want and len(got) > 8
-    kinds = {(r.pos, r.kind) for r in catalog.QUERIES["items_claims"](spark, path).collect()}
+    kinds = {(r.pos, r.kind) for r in catalog.QUERIES["extract_claims"](spark, path).collect()}
     assert kinds >= {(0, "number"), (0, "attribution"), (1, "denial"), (1, "prediction"), (2, "quote"), (2, "attribution")}
     found = {(r.pos_a, r.pos_b, r.kind) for r in catalog.QUERIES["items_conflicts"](spark, path).collect()}
     assert found == {(0, 1, "factual"), (0, 1, "denial")}
-    got, want = both(spark, "items_claims", SMALL)
+    got, want = both(spark, "extract_claims", SMALL)
     assert got == want
