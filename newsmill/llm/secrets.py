@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsmill.llm._common import staged, table, text_column, tune
+from newsmill.llm._common import hot_join, staged, table, text_column, tune
 
 KINDS = ("assign", "access", "hex", "provider", "entropy")
 BASE = KINDS[:3]
@@ -27,8 +27,9 @@ PROVIDER_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_liv
 ENTROPY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 PLACEHOLDERS = ("example", "changeme", "xxxx", "your", "dummy", "sample", "00000000", "12345678")
-#: A value that more owners than this hold is a copied example.
-MAX_OWNERS = 2
+#: A value that more owners, or more repositories of them, than this hold is a
+#: widely copied example.
+MAX_OWNERS, MAX_REPOS = 2, 4
 #: Least entropy, in bits a character, of a live-looking value.
 MIN_BITS = 2.5
 _RUNS = np.zeros(256, np.uint8)
@@ -112,15 +113,18 @@ def ownership(scanned: DataFrame, owner: str = "__owner", repo: str = "__repo")
     return per.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_rows"))
 
 
-def judged(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def judged(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Per ``__rid`` the spans ``kind, start, stop, live, base`` that count.
 
     Base kinds always count. The method's own kinds (provider, entropy) count
     only where their value is owner-specific. A span is live when its value
-    looks live and has at most ``max_owners`` distinct owners."""
+    looks live, has at most ``max_owners`` distinct owners and is in at most
+    ``max_repos`` distinct repositories: what few owners carry through many
+    repositories is copied as well (a vendored file or a fixture)."""
     stats = ownership(scanned)
     each = scanned.where(F.size("__found") > 0).select("__rid", F.explode("__found").alias("x")).select("__rid", "x.*")
-    joined = each.join(stats, "hash").withColumns({"live": F.col("live") & (F.col("n_owners") <= max_owners), "base": F.col("kind").isin(*BASE)})
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    joined = hot_join(each, stats, "hash").withColumns({"live": F.col("live") & few, "base": F.col("kind").isin(*BASE)})
     kept = joined.where(F.col("base") | F.col("live"))
     order = F.when(F.col("kind") == KINDS[0], 0)
     for i, k in enumerate(KINDS[1:], 1):
@@ -137,17 +141,23 @@ def _named(spans):
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.stop.cast("string"))))
 
 
-def secret_report(docs: DataFrame, owner_col: str | None = "source", repo_col: str | None = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
+def _owned(docs: DataFrame, owner_col: str | None, repo_col: str | None) -> dict:
+    """Owner and repository of each row; a column that isn't there: null for all."""
+    value = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
+    return {"__owner": value(owner_col), "__repo": value(repo_col)}
+
+
+def secret_report(docs: DataFrame, owner_col: str | None = "source", repo_col: str | None = "lang", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """A row per document: counts and digest of its base spans, all its spans,
     how many are live and how many copied examples.
 
-    An owner is a value of ``owner_col`` (null counts as one owner), a
-    repository a pair of owner and ``repo_col``. Null texts are empty; repeated
-    rows keep a row each; other columns don't matter."""
-    owner = F.col(owner_col).cast("string") if owner_col in docs.columns else F.lit(None).cast("string")
-    repo = F.col(repo_col).cast("string") if repo_col in docs.columns else F.lit(None).cast("string")
-    scanned = scan(docs.select("doc_id", "text", owner.alias("__owner"), repo.alias("__repo")), ["doc_id", "__owner", "__repo"])
-    rows = scanned.select("__rid", "doc_id").join(judged(scanned, max_owners), "__rid", "left")
+    An owner is a value of ``owner_col``, a repository a pair of owner and
+    ``repo_col`` (``documents`` names no repository, so language stands for it);
+    null counts as one value, as for all rows where a column isn't there. Null
+    texts are empty; an empty table gives no rows; repeated rows keep a row each;
+    other columns don't matter."""
+    scanned = scan(docs.withColumns(_owned(docs, owner_col, repo_col)).select("doc_id", "text", "__owner", "__repo"), ["doc_id", "__owner", "__repo"])
+    rows = scanned.select("__rid", "doc_id").join(judged(scanned, max_owners, max_repos), "__rid", "left")
     spans = F.coalesce("__spans", F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,kind:string,live:boolean,base:boolean>>"))
     rows = rows.select("doc_id", spans.alias("spans"))
     base = F.filter("spans", lambda x: x.base)
@@ -163,13 +173,15 @@ def secret_report(docs: DataFrame, owner_col: str | None = "source", repo_col: s
     )
 
 
-def redact(docs: DataFrame, mark: str = "<SECRET>", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<SECRET>", owner_col: str | None = "source", repo_col: str | None = "lang") -> DataFrame:
     """``docs`` with each live span of ``text`` replaced by ``mark``; the columns
     stay (n_chars follows the new text). Copied examples and all other text stay
-    as they are. Overlapping spans are replaced as one."""
+    as they are. Overlapping spans are replaced as one. Null and empty texts, rows
+    that repeat and columns of any other name stay as they are; columns of owner
+    and repository that aren't there count as null."""
     columns = docs.columns
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    scanned = scan(docs.withColumns({"__owner": F.col(owner_col).cast("string"), "__repo": F.col(repo_col).cast("string")}), [*columns, "__owner", "__repo"])
+    scanned = scan(docs.withColumns(_owned(docs, owner_col, repo_col)), [*columns, "__owner", "__repo"])
     live = judged(scanned).select("__rid", F.filter("__spans", lambda x: x.live).alias("__spans")).where(F.size("__spans") > 0)
     joined = scanned.where(F.size("__found") > 0).join(live, "__rid", "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -187,4 +199,5 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", owner_col: str = "source", r
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; edge cases as ``secret_report`` says."""
     return secret_report(table(spark, sf_dir, "documents"))
