@@ -23,6 +23,8 @@ SALTS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)
 #: Body difference at which digests count as unrelated: what independent
 #: uniform quartiles give, 1.625 a bucket.
 UNRELATED = 416.0
+#: Bytes of text in a range of ids, about.
+RANGE_BYTES = 64 << 20
 SMALLEST = -(2**63)
 
 
@@ -93,10 +95,11 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     likeness of its digest to that of the edited text and of the next document.
 
     Documents are taken by descending doc_id (null ids last; rows of one id by
-    their text). The edited text has the last floor(n/3) code points replaced by
+    the bytes of their compressed text, which is any order but a fixed one). The edited text has the last floor(n/3) code points replaced by
     the first as many (or all) of the next document; after the last comes the
     first, so a single document is its own neighbour. Null texts are empty. Rows
-    that repeat keep a row each. An empty table gives no rows.
+    that repeat keep a row each. An empty table gives no rows; other columns
+    don't matter.
 
     Ids alone are dealt out by range to find the largest id of each range; each
     text is then shuffled once, compressed, to its range, and the first document
@@ -104,7 +107,8 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     sorted rows and hold a few texts at a time."""
     spark = docs.sparkSession
     tune(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_column(docs)))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST))
     ids = docs.select(key.alias("key"))
     found = ids.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("key").alias("top")).collect()
@@ -173,4 +177,5 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; edge cases as ``compare_neighbours`` says."""
     return compare_neighbours(table(spark, sf_dir, "documents"))
