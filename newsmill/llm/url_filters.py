@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from newsmill.llm._common import table
 from newsmill.llm._components import components
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most rules that are tested as one expression; a longer list is refused.
+#: Most rules that are tested as one expression; those of a longer list are joined.
 MAX_RULES = 2000
 
 
@@ -49,8 +50,6 @@ def node_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null where none does. Of
     equally long rules that fit, allow goes first."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are tested in one expression")
     name = verdict = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.host) + len(r.path), r.verdict == "allow", r.host, r.path)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -59,6 +58,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def ruled(df: DataFrame, rules=RULES) -> DataFrame:
+    """``df`` (host, path) with ``rule`` and ``own``, the longest rule that fits and
+    its verdict. A long list is a table of rules: each distinct host and path is
+    joined by the ends of its host, so a URL meets the rules of its own hosts only.
+    The table is as large as the list that the driver holds."""
+    if len(rules) <= MAX_RULES:
+        name, own = rule_of(F.col("host"), F.col("path"), rules)
+        return df.withColumns({"rule": name, "own": own})
+    listed = json.dumps([{"end": r.host, "start": r.path, "rule": r.host + r.path, "own": r.verdict} for r in rules])
+    kind = "array<struct<end:string,start:string,rule:string,own:string>>"
+    known = df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(listed), kind)).alias("r")).select("r.*")
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    urls = df.select("host", "path").distinct()
+    hit = urls.withColumn("end", F.explode(ends)).join(known, "end").where(F.col("path").startswith(F.col("start")))
+    order = F.struct(F.length("end") + F.length("start"), F.col("own") == "allow", "end", "start")
+    best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "own"), order).alias("best")).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "best.rule", "best.own")
+    return df.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
+
+
 def let(value: Column, f) -> Column:
     """f of a value that is evaluated once; expressions that name it often would
     grow with each level."""
@@ -152,13 +171,12 @@ def judge(pages: DataFrame, edges: DataFrame, rules=RULES, default: str = "allow
     Null or odd URLs: host and path empty, no rule, ``default``. Repeated pages
     keep a row each. Empty tables give no rows. Other columns are left out."""
     pages = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "node": node_of(F.col("url"))})
-    name, own = rule_of(F.col("host"), F.col("path"), rules)
-    pages = pages.withColumns({"rule": name, "own": own})
+    pages = ruled(pages, rules)
     ends = edges.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b")).where("a <> b")
     parts = components(ends)
     full = F.concat(F.lit("x://"), F.col("node"))
-    _, verdict = rule_of(host_of(full), path_of(full), rules)
-    marks = parts.withColumn("verdict", verdict).groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"), F.bool_or(F.col("verdict") == "block").alias("blocked"))
+    told = ruled(parts.withColumns({"host": host_of(full), "path": path_of(full)}), rules).withColumnRenamed("own", "verdict")
+    marks = told.groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"), F.bool_or(F.col("verdict") == "block").alias("blocked"))
     carried = parts.join(marks, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("carried"))
     return pages.join(carried, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "carried", F.lit(default)).alias("verdict"), F.coalesce(F.col("own").isNull() & F.col("carried").isNotNull(), F.lit(False)).alias("by_alias"))
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsmill.llm import _common, decontaminate, fingerprints, near_duplicates, packing, secrets, suffix_dedup, warc
+from newsmill.llm import _common, decontaminate, fingerprints, near_duplicates, packing, secrets, suffix_dedup, url_filters, warc
 from newsmill.llm._components import components
 from newsmill.llm._words import Finder, hashes, spans
 
@@ -263,3 +263,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     corpus(spark, tmp_path, empty=True)
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_long_lists_of_rules_are_joined(spark, monkeypatch):
+    rules = (*url_filters.RULES, url_filters.Rule("block", "a.example.org", "/"), url_filters.Rule("allow", "a.example.org", "/"), url_filters.Rule("block", "", "/x"))
+    urls = [None, "no scheme", "http://a.example.org/es/1", "http://b.a.example.org/q", "http://example.org", "http://notexample.org/es/", "http://a.com/de/1", "http://com/fr/", "http://z.net/x", "http://z.net/y", "http:///x/1", "http://z.net/y"]
+    html = [None] * 9 + ["<link rel=canonical href='http://a.com/de/2'>", None, None]
+    pages = spark.createDataFrame([(i, u, h, "k") for i, (u, h) in enumerate(zip(urls, html))], "page_id bigint, url string, html string, rule string")
+    edges = url_filters.links(pages)
+    want = sorted(url_filters.judge(pages, edges, rules).collect(), key=lambda r: r.page_id)
+    assert want[11].verdict == "block" and want[2].rule == "example.org/es/" and want[3].verdict == "allow"
+    monkeypatch.setattr(url_filters, "MAX_RULES", 2)
+    assert sorted(url_filters.judge(pages, edges, rules).collect(), key=lambda r: r.page_id) == want
