@@ -26,8 +26,27 @@ def age_weeks(age_s: Column) -> Column:
     return F.when(age_s < 60, "now").when(age_s < 3600, F.concat(whole(60), F.lit("m"))).when(age_s < 86400, F.concat(whole(3600), F.lit("h"))).when(age_s < 604800, F.concat(whole(86400), F.lit("d"))).otherwise(F.concat(whole(604800), F.lit("w")))
 
 
+def tenths(x: Column) -> Column:
+    """A number from 0 on with one decimal, rounded by its exact binary value, ties
+    to even; ``format_string`` rounds the shortest decimal that names it. Ten times
+    x is the sum of two exact terms and the error of their sum is exact, too."""
+    a, b = x * 8, x * 2
+    total = a + b
+    error = b - (total - a)
+    low = F.floor(total)
+    rest = total - low
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+    n = F.when(up, low + 1).otherwise(low)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def whole(x: Column) -> Column:
+    """A number without decimals, ties to even."""
+    return F.bround(x).cast("bigint").cast("string")
+
+
 def age_compact(s: Column) -> Column:
-    return F.when(s < 0, "0ms").when(s < 1, F.concat(F.floor(s * 1000).cast("string"), F.lit("ms"))).when(s < 60, F.format_string("%.1fs", s)).otherwise(F.format_string("%.0fm", s / 60))
+    return F.when(s < 0, "0ms").when(s < 1, F.concat(F.floor(s * 1000).cast("string"), F.lit("ms"))).when(s < 60, F.concat(tenths(s), F.lit("s"))).otherwise(F.concat(whole(s / 60), F.lit("m")))
 
 
 def dur_precision(ms: Column) -> Column:

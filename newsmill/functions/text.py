@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsmill.functions.scores import tenths, whole
+
 # Title prefixes, breaking words, entity texts, white space.
 PREFIXES = ("breaking:", "update:", "updated:", "exclusive:", "just in:", "developing:", "watch:", "live:", "opinion:", "analysis:", "review:")
 PREFIXES_ALL = ("breaking:", "update:", "updated:", "exclusive:", "just in:", "developing:", "watch:", "video:", "live:")
@@ -196,7 +198,7 @@ def format_event(ts: Column, level: Column, comp: Column, kind: Column, msg: Col
     """One line for an event: fixed widths, then what it has."""
     level = F.upper(blank(level))
     width = lambda c, n: F.when(F.length(c) >= n, c).otherwise(F.rpad(c, n, " "))
-    digits = F.when(dur_ms >= 100, F.format_string("%.0f", dur_ms)).when(dur_ms >= 1, F.format_string("%.1f", dur_ms)).otherwise(F.format_string("%.2f", dur_ms))
+    digits = F.when(dur_ms >= 100, whole(dur_ms)).when(dur_ms >= 1, tenths(dur_ms)).otherwise(F.format_string("%.2f", dur_ms))
     some = lambda c, name: F.when(blank(c) != "", F.concat(F.lit(name), c))
     head = F.concat(F.date_format(ts, "HH:mm:ss.SSS"), F.lit(" "), width(F.when(level == "", "?").otherwise(level), 5), F.lit(" ["), width(blank(comp), 6), F.lit("] "), width(blank(kind), 22))
     return F.concat_ws(" ", head, some(msg, "\u2014 "), F.when(dur_ms > 0, F.concat(F.lit("("), digits, F.lit("ms)"))), F.when(count > 0, F.concat(F.lit("n="), count.cast("string"))), some(source, "src="), F.when(blank(query) != "", F.concat(F.lit('q="'), query, F.lit('"'))), some(err, "err="))

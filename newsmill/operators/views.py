@@ -91,7 +91,7 @@ def headlines(items: DataFrame, vectors: DataFrame, query: list[float]) -> DataF
 def rerank_stories(scored: DataFrame, most: int = 8) -> DataFrame:
     """The best of (id, score) with label and reason."""
     top = scored.orderBy(F.desc("score"), "id").limit(most).withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id")) - 1)
-    return top.select("id", "place", scores.relevance_label(F.col("place"), F.col("score")).alias("label"), F.format_string("Relevance: %.0f%%", F.col("score") * 100).alias("reason"))
+    return top.select("id", "place", scores.relevance_label(F.col("place"), F.col("score")).alias("label"), F.concat(F.lit("Relevance: "), scores.whole(F.col("score") * 100), F.lit("%")).alias("reason"))
 
 
 def clusters_of(assigned: DataFrame, items: DataFrame, as_of: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmill.functions import text as tx
+from newsmill.functions.scores import whole
 from newsmill.functions.text import blank
 
 HN_SCHEMA = "id bigint, title string, url string, text string, `by` string, time bigint"
@@ -18,7 +19,7 @@ def _some(test: Column, text: Column) -> Column:
 
 
 def _percent(p: Column) -> Column:
-    return F.format_string("%.0f%% YES", p * 100)
+    return F.concat(whole(p * 100), F.lit("% YES"))
 
 
 def _described(c: Column) -> Column:
@@ -39,7 +40,7 @@ def manifold(markets: DataFrame, most: int = 50) -> DataFrame:
     summary = F.concat(
         _percent(F.coalesce("probability", F.lit(0.0))),
         _some(F.col("uniqueBettorCount") > 0, F.format_string(" · %d traders", F.col("uniqueBettorCount"))),
-        _some(F.col("volume24Hours") > 0, F.format_string(" · M$%.0f 24h", F.col("volume24Hours"))),
+        _some(F.col("volume24Hours") > 0, F.concat(F.lit(" · M$"), whole(F.col("volume24Hours")), F.lit(" 24h"))),
         _described(F.col("textDescription")),
     )
     url = F.when(blank(F.col("url")) != "", F.col("url")).otherwise(F.concat(F.lit("https://manifold.markets/"), blank(F.col("creatorUsername")), F.lit("/"), blank(F.col("slug"))))
@@ -51,7 +52,7 @@ def polymarket(markets: DataFrame, most: int = 50) -> DataFrame:
     first; a volume is a number or a text of one."""
     volume = F.coalesce(F.col("volume24hr").try_cast("double"), F.lit(0.0))
     own = markets.orderBy("pos").limit(most).where(blank(F.col("question")) != "").withColumn("_volume", volume)
-    summary = F.concat(_percent(tx.parse_first_price(F.col("outcomePrices"))), _some(F.col("_volume") > 0, F.format_string(" · $%.0fK 24h volume", F.col("_volume") / 1000)), _described(F.col("description")))
+    summary = F.concat(_percent(tx.parse_first_price(F.col("outcomePrices"))), _some(F.col("_volume") > 0, F.concat(F.lit(" · $"), whole(F.col("_volume") / 1000), F.lit("K 24h volume"))), _described(F.col("description")))
     out = own.orderBy(F.desc("_volume"), "pos")
     return out.select(F.concat(F.lit("poly-"), "id").alias("id"), F.concat(F.lit("\U0001f4ca "), "question").alias("title"), summary.alias("summary"), F.concat(F.lit("https://polymarket.com/event/"), blank(F.col("slug"))).alias("url"), F.lit("").alias("author"), F.col("createdAt").alias("published"))
 

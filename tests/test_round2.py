@@ -45,6 +45,12 @@ def test_names_and_snippets(spark):
     assert values(spark, lambda c: scores.age_compact(c.cast("double")), ["-1", "0.25", "12.34", "160"]) == ["0ms", "250ms", "12.3s", "3m"]
 
 
+def test_tenths_are_rounded_by_the_exact_value(spark):
+    rows = [0.0, 0.05, 0.25, 0.35, 1.0, 6.55, 42.55, 9.95, 9.96, 2.25, 99.949999, 0.15, 7.45]
+    got = spark.createDataFrame([(x,) for x in rows], "x double").select("x", scores.tenths(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in got} == {x: f"{x:.1f}" for x in rows}
+
+
 def test_vectors_as_bytes(spark):
     df = spark.createDataFrame([(0, [1.5, -2.0]), (1, [])], "i int, v array<float>").select("i", tx.encode_vector(F.col("v")).alias("raw"))
     back = df.select("i", tx.decode_vector(F.concat("raw", F.lit(b"xyz"))).alias("v")).collect()
