@@ -21,6 +21,8 @@ MAX_LANGUAGES = 400
 SMOOTHING = 0.1
 #: Words whose scores a worker keeps.
 KEPT_WORDS = 200_000
+#: New words that are summed over at once.
+AT_ONCE = 1 << 15
 BLOCK = 1000
 MARK = "▁".encode()
 _vocabularies: dict[str, "Vocabulary"] = {}
@@ -209,7 +211,9 @@ def classify(docs: DataFrame, names: list[str], p: np.ndarray, path: str = VOCAB
                 new = np.flatnonzero(~old)
                 if len(new):
                     raw = data.tobytes()
-                    score[new] = known.forward([raw[starts[i] : ends[i]] for i in new], own_p)
+                    for a in range(0, len(new), AT_ONCE):
+                        some = new[a : a + AT_ONCE]
+                        score[some] = known.forward([raw[starts[i] : ends[i]] for i in some], own_p)
                     if len(seen_key) + len(new) > KEPT_WORDS:
                         seen_key, seen = key, score
                     else:
