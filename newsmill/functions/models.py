@@ -52,3 +52,40 @@ def rerank(items: DataFrame, query: str, text: Column, scorer: Scorer, n: int =
     head = items.orderBy("pos").limit(n)
     scored = head.select("id", run(text).alias("relevance"))
     return items.join(scored, "id", "left").orderBy(F.desc_nulls_last("relevance"), "pos")
+
+
+# What a reranker is asked for, by name.
+RUBRICS = {
+    "frontpage": """Most important news stories with real-world impact, broad relevance, and credible sourcing.
+Prefer clear facts over speculation, multi-source confirmation.
+Avoid duplicates, clickbait, promotional content.""",
+    "breaking": """Breaking news and urgent developments from the last few hours.
+High potential impact, developing situations, wire service reports.
+Factual claims, official statements, confirmed events.""",
+    "topstories": """Most important breaking news and major world developments.
+Significant events with broad impact. Major policy changes.
+Breaking situations. High-impact technology or science news.""",
+    "tech": """Significant technology news and developments.
+AI/ML breakthroughs, major product launches, security incidents.
+Infrastructure changes, developer tools, industry shifts.""",
+    "finance": """Important financial and economic news.
+Market-moving events, policy changes, earnings surprises.
+Economic indicators, regulatory actions, major deals.""",
+    "science": """Significant scientific discoveries and research.
+Peer-reviewed findings, space exploration, climate science.
+Medical breakthroughs, technology advances.""",
+    "security": """Cybersecurity news and threats.
+Data breaches, vulnerabilities, nation-state attacks.
+Security research, defensive tools, incident response.""",
+    "geopolitics": """International relations and geopolitical developments.
+Diplomatic actions, conflicts, treaties, sanctions.
+Elections, leadership changes, regional tensions.""",
+}
+
+
+def rubric(name: Column) -> Column:
+    """The text of a rubric; unknown names: that of the top stories."""
+    out = F.lit(RUBRICS["topstories"])
+    for key, text in RUBRICS.items():
+        out = F.when(name == key, text).otherwise(out)
+    return out

@@ -165,3 +165,24 @@ def group_stats(groups: DataFrame, root: str = "root") -> DataFrame:
     aren't the first of theirs."""
     sizes = groups.groupBy(root).agg(F.count("*").alias("n"))
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("indexed"), F.count_if(F.col("n") > 1).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+
+
+def primaries(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """``items`` without those of ``groups`` (pos, root) that aren't the first of
+    theirs; items of no group stay."""
+    return items.join(groups.where("pos <> root").select("pos"), "pos", "left_anti").select(items.columns)
+
+
+def group_sizes(items: DataFrame, groups: DataFrame, alone: int) -> DataFrame:
+    """``pos, size`` of each item's group (pos, root), ``alone`` for items of none."""
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    own = items.select("pos").join(groups, "pos", "left").join(sizes, "root", "left")
+    return own.select("pos", F.coalesce("n", F.lit(alone).cast("bigint")).alias("size"))
+
+
+def hash_links(items: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): hashes of titles with equal upper 16 bits and at most 3
+    different bits. Equal titles have one hash and meet as one."""
+    own = items.select(tx.simhash(F.col("title")).alias("h")).distinct().withColumn("top", F.shiftrightunsigned("h", 48))
+    a, b = own.alias("a"), own.alias("b")
+    return a.join(b, (F.col("a.top") == F.col("b.top")) & (F.col("a.h") < F.col("b.h")) & (scores_hamming("a.h", "b.h") <= 3)).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))

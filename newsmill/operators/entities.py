@@ -128,6 +128,15 @@ def extract_claims(items: DataFrame) -> DataFrame:
     return items.select("pos", F.explode(claims).alias("c")).select("pos", "c.*")
 
 
+def overlaps(entities: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``pos, cluster, overlap``: how many entities (pos, entity_id) of an item
+    items of a cluster (pos, cluster) have; clusters without one aren't listed. An
+    entity meets each cluster once, whatever the number of items that have it."""
+    own = entities.select("pos", "entity_id").distinct()
+    index = own.join(clusters, "pos").select("entity_id", "cluster").distinct()
+    return own.join(index, "entity_id").groupBy("pos", "cluster").agg(F.count("*").alias("overlap"))
+
+
 def extract_number(c: Column) -> Column:
     plain = F.regexp_replace(c, r"[$,]", "")
     low = F.lower(plain)
@@ -165,4 +174,4 @@ def item_conflicts(items: DataFrame, clusters: DataFrame) -> DataFrame:
     return pairs.select("a.cluster", F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), conflict_kind().alias("kind"), F.col("a.text").alias("claim_a"), F.col("b.text").alias("claim_b")).where("kind IS NOT NULL")
 
 
-__all__ = ["attribution", "conflicts", "contains_word", "countries", "entities", "extract_claims", "extract_number", "item_conflicts", "numbers_conflict", "tickers"]
+__all__ = ["attribution", "conflicts", "contains_word", "countries", "entities", "extract_claims", "extract_number", "item_conflicts", "numbers_conflict", "overlaps", "tickers"]

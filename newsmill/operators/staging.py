@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -14,16 +14,20 @@ def _own_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="newsmill-")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the folder in ``spark.checkpoint.dir`` and read back. Where
-    that is unset, an own folder, in local mode only."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new path in the folder in ``spark.checkpoint.dir``. Where that is unset,
+    in an own folder, in local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = _own_dir(spark.sparkContext.applicationId)
-    path = f"{top.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/loop-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to a new path of ``folder`` and read back."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

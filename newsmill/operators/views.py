@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsmill.functions import scores
-from newsmill.operators import dedup, sampling
+from newsmill.functions import text as tx
+from newsmill.operators import dedup, entities, sampling, stories
 
 
 def similarity(items: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -130,3 +131,25 @@ def radar(clusters: DataFrame, entities: DataFrame, items: DataFrame, as_of: Col
     c = active_clusters(clusters, n_clusters).select(F.lit("cluster").alias("kind"), F.col("cluster").cast("string").alias("name"), F.col("size").alias("n"))
     own = entities.join(items.where(F.col("published") > as_of - F.expr(f"INTERVAL {hours} HOURS")).select("pos"), "pos", "left_semi")
     return c.unionByName(top_entities(own, n_entities).select(F.lit("entity").alias("kind"), F.col("entity_id").alias("name"), F.col("mentions").alias("n")))
+
+
+def correlated(items: DataFrame, as_of: Column) -> DataFrame:
+    """Clusters (as ``clusters_of``) of the items that aren't duplicates by title:
+    duplicates, entities, clusters, rates, one after the other. Duplicates go no
+    further; items without an entity are alone."""
+    firsts = dedup.primaries(items, dedup.simhash_groups(items).withColumnRenamed("primary", "root"))
+    at = firsts.select("pos", F.unix_seconds("published").alias("at"))
+    named = at.join(entities.entities(firsts).select("pos", "entity_id"), "pos", "left")
+    return clusters_of(stories.assign_clusters(named), firsts, as_of)
+
+
+def story_candidates(items: DataFrame, vectors: DataFrame, as_of: Column, threshold: float = 0.85, hours: int = 6, most: int = 200) -> DataFrame:
+    """``id, pos, doc`` of the newest ``most`` items of the last hours (of all, if
+    there is none), without near duplicates; doc is title and summary in 300 bytes,
+    what a reranker is given."""
+    recent = items.where(F.col("published") > as_of - F.expr(f"INTERVAL {hours} HOURS"))
+    own = (items if recent.isEmpty() else recent).orderBy(F.desc("published"), "pos").limit(most)
+    groups = dedup.chained_groups(own.select("id", "pos").join(vectors, "id").select("pos", "embedding"), threshold)
+    title, summary = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
+    doc = F.concat(title, F.when(summary != "", F.concat(F.lit(" - "), summary)).otherwise(""))
+    return dedup.primaries(own, groups).select("id", "pos", tx.truncate_bytes(doc, 300, mark="").alias("doc"))

@@ -206,11 +206,10 @@ on_items("are_duplicates", "SELECT pos, (64 - bit_count(xor(pos * 7919, pos * 79
 FNV = "list_reduce(list_prepend(2166136261::BIGINT, [ord(x)::BIGINT FOR x IN string_split(url, '')]), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 on_items("fnv32a", f"SELECT pos, {FNV} AS h FROM items")(lambda i: i.select("pos", tx.fnv32a(c("url")).alias("h")))
 GRAMS = "[list_reduce(list_prepend(5::BIGINT, [ord(x)::BIGINT FOR x IN string_split(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2], '')]), lambda h, b: (h * 33 + b) % 64) FOR k IN range(1, greatest(len(w) - 1, 1))]"
-HASHED = f", hashed AS MATERIALIZED (SELECT pos, coalesce(list_sum([(1::HUGEINT << b::INT) FOR b IN list_distinct({GRAMS})]), 0)::HUGEINT AS u FROM (SELECT pos, list_filter(string_split_regex(regexp_replace(lower(substr(title, 1, 300)), '[^a-z0-9 ]', '', 'g'), ' +'), lambda x: x <> '') AS w FROM items))"
+HASHED = f", hashed AS MATERIALIZED (SELECT pos, coalesce(list_sum([(1::HUGEINT << b::INT) FOR b IN list_distinct({GRAMS})]), 0)::HUGEINT AS u FROM (SELECT pos, list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' +'), lambda x: x <> '') AS w FROM items))"
 SIGNED = "(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT"
-short = lambda i: i.withColumn("title", F.substring("title", 1, 300))
-on_items("simhash_stats", f"SELECT count(*) AS hashes, count(DISTINCT u) AS groups FROM hashed", HASHED)(lambda i: short(i).select(tx.simhash(c("title")).alias("h")).agg(F.count("*").alias("hashes"), F.count_distinct("h").alias("groups")))
-on_items("simhash", f"SELECT pos, {SIGNED} AS h FROM hashed", HASHED)(lambda i: short(i).select("pos", tx.simhash(c("title")).alias("h")))
+on_items("simhash_stats", f"SELECT count(*) AS hashes, count(DISTINCT u) AS groups FROM hashed", HASHED)(lambda i: i.select(tx.simhash(c("title")).alias("h")).agg(F.count("*").alias("hashes"), F.count_distinct("h").alias("groups")))
+on_items("simhash", f"SELECT pos, {SIGNED} AS h FROM hashed", HASHED)(lambda i: i.select("pos", tx.simhash(c("title")).alias("h")))
 
 # polls, jobs, velocity
 POLLS = "SELECT source_name, 60.0 + pos % 30 AS interval, pos AS w, pos % 4 AS fresh FROM items WHERE pos % 2 = 0"
