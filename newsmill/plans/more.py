@@ -94,7 +94,7 @@ LABEL = "CASE status WHEN 'breaking' THEN '● NEW' WHEN 'developing' THEN '◐
 ORDER = "CASE status WHEN 'breaking' THEN 0 WHEN 'persistent' THEN 1 WHEN 'sustained' THEN 2 WHEN 'developing' THEN 3 ELSE 4 END, hit DESC, first_seen DESC, item_id"
 with_status = lambda k: k.withColumn("status", sc.story_status(c("hit"), c("miss")))
 on_items("story_label", f"SELECT item_id, {LABEL} AS label FROM (SELECT *, {STATUS} AS status FROM cache)", CACHE)(lambda i: top_stories.ordered(with_status(cache(i))).select("item_id", "label"))
-on_items("story_order", f"SELECT item_id, row_number() OVER (ORDER BY {ORDER}) AS place FROM (SELECT *, {STATUS} AS status FROM cache) ORDER BY place LIMIT 60", CACHE)(lambda i: (lambda top: top.withColumn("place", F.row_number().over(W.orderBy(sc.status_order(c("status")), F.desc("hit"), F.desc("first_seen"), "item_id")).cast("bigint")).select("item_id", "place"))(top_stories.ordered(with_status(cache(i))).limit(60)))
+on_items("story_order", f"SELECT item_id, status, hit, first_seen FROM (SELECT *, {STATUS} AS status FROM cache) ORDER BY {ORDER}", CACHE)(lambda i: top_stories.ordered(with_status(cache(i))).select("item_id", "status", "hit", "first_seen"))
 on_items("story_context", f"SELECT 'CURRENT TOP STORIES:' || chr(10) || string_agg(n || '. [' || {LABEL} || '] ' || title || chr(10), '' ORDER BY n) AS text FROM (SELECT *, row_number() OVER (ORDER BY hit DESC, item_id) AS n FROM (SELECT *, {STATUS} AS status FROM cache) WHERE status <> 'fading' AND title <> '' QUALIFY n <= 5)", CACHE)(lambda i: top_stories.context(cache(i)))
 on_items("story_cache_list", "SELECT item_id, hit FROM cache ORDER BY hit DESC, last_seen DESC, item_id LIMIT 100", CACHE)(lambda i: cache(i).orderBy(F.desc("hit"), F.desc("last_seen"), "item_id").limit(100).select("item_id", "hit"))
 on_items("story_cache_prune", f"SELECT count(*) AS n FROM cache WHERE last_seen >= {AGO.format(24)}", CACHE)(lambda i: store.save_top_stories(cache(i), cache(i).limit(0), now(), 24).agg(F.count("*").alias("n")))
@@ -133,14 +133,14 @@ on_items("project_convert_v4", "SELECT id, source_type, title, url, len(coalesce
 on_both("project_headline", f"SELECT id, round(coalesce(CASE WHEN vid IS NOT NULL THEN {SIM} END, 0.5)::DOUBLE, 5) AS semantic, 0.5::DOUBLE AS arousal FROM items LEFT JOIN vec ON vid = id")(lambda i, v: views.headlines(i, v, QUERY).select("id", F.round("factors.semantic", 5).alias("semantic"), c("factors.arousal").alias("arousal")))
 PAIRS = f"SELECT b.vid::BIGINT AS pos, a.vid::BIGINT AS near, CAST({DOT.format('a.embedding', 'b.embedding')} AS FLOAT) AS sim FROM vec a JOIN vec b ON a.vid::BIGINT < b.vid::BIGINT"
 placed = lambda v: v.select(c("id").cast("bigint").alias("pos"), "embedding")
-on_both("knn_join", f"SELECT pos, near, place FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(sim, 5) DESC, near) AS place FROM ({PAIRS})) WHERE place <= 5 AND pos % 10 < 3")(lambda i, v: (lambda p: p.withColumn("place", F.row_number().over(W.partitionBy("pos").orderBy(F.desc(F.round("sim", 5)), "near")).cast("bigint")).where("place <= 5 AND pos % 10 < 3").select("pos", "near", "place"))(dedup.nearest_earlier(placed(v), 8)))
+on_both("knn_join", f"SELECT pos, near, place FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(sim, 5) DESC, near) AS place FROM ({PAIRS})) WHERE place <= 5")(lambda i, v: (lambda p: p.withColumn("place", F.row_number().over(W.partitionBy("pos").orderBy(F.desc(F.round("sim", 5)), "near")).cast("bigint")).where("place <= 5").select("pos", "near", "place"))(dedup.nearest_earlier(placed(v), 8)))
 on_items("join_categories", "SELECT id, CASE source_type WHEN 'en' THEN 'world' WHEN 'de' THEN 'europe' END AS category FROM items")(lambda i: i.join(F.broadcast(i.sparkSession.sql("SELECT * FROM VALUES ('en', 'world'), ('de', 'europe') AS t(source_type, category)")), "source_type", "left").select("id", "category"))
 on_items("join_source_patterns", "SELECT id, source_name = 'src1' AND regexp_matches(url, '/1[0-9]*$') AS fits FROM items")(lambda i: i.join(F.broadcast(i.sparkSession.createDataFrame([("src1", "/1[0-9]*$")], "source_name string, pattern string")), "source_name", "left").select("id", F.when(c("source_name").isNull(), None).otherwise(F.coalesce(F.expr("url rlike pattern"), F.lit(False))).alias("fits")))
 RANKED = "SELECT id, pos % 40 AS rank FROM items WHERE pos % 3 = 1"
-_place = lambda df, *order: df.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("bigint")).select("id", "place")
-on_items("join_rerank_order", f"SELECT id, row_number() OVER (ORDER BY rank NULLS LAST, published DESC, pos) AS place FROM items LEFT JOIN ({RANKED}) r USING (id) ORDER BY place LIMIT 150")(lambda i: _place(views.by_rank(i, i.where("pos % 3 = 1").select("id", (c("pos") % 40).alias("rank"))).limit(150), F.asc_nulls_last("rank"), F.desc("published"), "pos"))
+ranked = lambda i, name: i.where("pos % 3 = 1").select("id", (c("pos") % 40).alias(name))
+on_items("join_rerank_order", f"SELECT id, rank FROM items LEFT JOIN ({RANKED}) r USING (id) ORDER BY rank NULLS LAST, published DESC, pos")(lambda i: ids(views.by_rank(i, ranked(i, "rank")), "rank"))
 QUERIES["sort_by_relevance"], SQL["sort_by_relevance"] = QUERIES["join_rerank_order"], SQL["join_rerank_order"]
-on_items("apply_rerank_scores", f"SELECT id, row_number() OVER (ORDER BY rank DESC NULLS LAST, pos) AS place FROM items LEFT JOIN ({RANKED}) r USING (id) ORDER BY place LIMIT 150")(lambda i: _place(views.by_scores(i, i.where("pos % 3 = 1").select("id", (c("pos") % 40).alias("score"))).limit(150), F.desc_nulls_last("score"), "pos"))
+on_items("apply_rerank_scores", f"SELECT id, rank AS score FROM items LEFT JOIN ({RANKED}) r USING (id) ORDER BY rank DESC NULLS LAST, pos")(lambda i: ids(views.by_scores(i, ranked(i, "score")), "score"))
 on_items("rerank_topn_policy", "SELECT least(greatest(30, 24 + 10), count(*))::INT AS n FROM items")(lambda i: i.sparkSession.createDataFrame([(views.rerank_count(24, i.count()),)], "n int"))
 on_items("merge_prepend", "SELECT id, CASE WHEN pos >= 500 THEN pos ELSE pos + (SELECT max(pos) + 1 FROM (SELECT * FROM items n WHERE pos >= 500 AND NOT EXISTS (SELECT 1 FROM items o WHERE o.pos < 500 AND o.url = n.url) QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos) = 1)) END AS pos FROM items n WHERE pos < 500 OR (NOT EXISTS (SELECT 1 FROM items o WHERE o.pos < 500 AND o.url = n.url)) QUALIFY pos < 500 OR row_number() OVER (PARTITION BY url ORDER BY pos) = 1")(lambda i: ids(views.prepend(i.where("pos < 500"), i.where("pos >= 500")), "pos"))
 SQL["merge_prepend"] = SQL["merge_prepend"].replace("SELECT id, CASE", "SELECT id, coalesce(CASE").replace("END AS pos FROM items n", "END, pos) AS pos FROM items n")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmill.functions import models
-from newsmill.operators import admin, dedup, entities, views
+from newsmill.operators import admin, dedup, entities, top_stories, views
 from newsmill.plans import catalog, wider  # noqa: F401
 from newsmill.sources import items as src
 
@@ -133,3 +133,13 @@ def test_story_candidates(spark):
 def test_rubrics(spark):
     got = spark.createDataFrame([(n,) for n in [*models.RUBRICS, "no such", None]], "n string").select(models.rubric(F.col("n")).alias("t")).collect()
     assert [r.t for r in got] == [*models.RUBRICS.values(), models.RUBRICS["topstories"], models.RUBRICS["topstories"]]
+
+
+def test_orders(spark):
+    items = spark.createDataFrame([("a", 0, datetime(2024, 1, 1)), ("b", 1, datetime(2024, 1, 3)), ("c", 2, datetime(2024, 1, 2)), ("d", 3, datetime(2024, 1, 2))], "id string, pos bigint, published timestamp")
+    ranked = spark.createDataFrame([("d", 2), ("a", 1), ("d", 5), ("z", 0)], "id string, rank int")
+    assert [r.id for r in views.by_rank(items, ranked).collect()] == ["a", "d", "b", "c"]
+    scored = spark.createDataFrame([("c", 0.5), ("d", 0.5), ("b", -1.0)], "id string, score double")
+    assert [r.id for r in views.by_scores(items, scored).collect()] == ["c", "d", "b", "a"]
+    stories = spark.createDataFrame([("x", "fading", 9, 5), ("y", "breaking", 1, 5), ("z", "persistent", 4, 5), ("w", "persistent", 4, 6), ("v", "developing", 3, 5), ("u", "sustained", 4, 5)], "item_id string, status string, hit bigint, first_seen int")
+    assert [r.item_id for r in top_stories.ordered(stories).collect()] == ["y", "w", "z", "u", "v", "x"]
