@@ -156,7 +156,7 @@ on_items("queue_manager", "SELECT source_name, count(*) AS n, min(pos) AS first
 # vectors and scores
 on_both("cosine_v4", f"SELECT vid AS id, round({DOT.format('embedding', QUERY_SQL)}, 5) AS s FROM vec")(lambda i, v: v.select("id", F.round(sc.cosine_double(c("embedding"), F.array(*map(F.lit, QUERY))), 5).alias("s")))
 on_both("score_threshold", f"SELECT id, round(s::DOUBLE, 5) AS s FROM (SELECT id, {SIM} AS s FROM items JOIN vec ON vid = id) WHERE s >= 0.1::FLOAT")(lambda i, v: views.similarity(i, v, QUERY).where(c("sim") >= F.lit(0.1).cast("float")).orderBy(F.desc("sim")).select("id", F.round(c("sim").cast("double"), 5).alias("s")))
-on_both("sort_by_score", f"SELECT id, row_number() OVER (ORDER BY round(s, 5) DESC, pos) AS place FROM (SELECT id, pos, {SIM} AS s FROM items JOIN vec ON vid = id)")(lambda i, v: _place(views.similarity(i, v, QUERY).where("sim IS NOT NULL"), F.desc(F.round("sim", 5)), "pos"))
+on_both("sort_by_score", f"SELECT id, round(s::DOUBLE, 5) AS score FROM (SELECT id, pos, {SIM} AS s FROM items JOIN vec ON vid = id) ORDER BY score DESC, pos")(lambda i, v: views.similarity(i, v, QUERY).where("sim IS NOT NULL").withColumn("score", F.round(c("sim").cast("double"), 5)).orderBy(F.desc("score"), "pos").select("id", "score"))
 QUERIES["sorted_results_v4"], SQL["sorted_results_v4"] = QUERIES["sort_by_score"], SQL["sort_by_score"]
 on_both("rerank_buckets", f"SELECT count_if(s >= 0.2) AS high, count_if(s <= -0.2) AS low, count_if(s > -0.2 AND s < 0.2) AS mid FROM (SELECT round({SIM}::DOUBLE, 5) AS s FROM vec)")(lambda i, v: v.select(F.round(sc.cosine(c("embedding"), F.array(*map(F.lit, QUERY))).cast("double"), 5).alias("s")).agg(F.count_if(c("s") >= 0.2).alias("high"), F.count_if(c("s") <= -0.2).alias("low"), F.count_if((c("s") > -0.2) & (c("s") < 0.2)).alias("mid")))
 on_both("pair_similarity", f"SELECT (1 + ({DOT.format('a.embedding', 'b.embedding')})) / 2 > 0.5 AS alike, a.vid AS a FROM vec a JOIN vec b ON b.vid::BIGINT = a.vid::BIGINT + 1")(lambda i, v: v.alias("a").join(v.alias("b"), c("b.id").cast("bigint") == c("a.id").cast("bigint") + 1).select(((1 + sc.cosine_double(c("a.embedding"), c("b.embedding"))) / 2 > 0.5).alias("alike"), c("a.id").alias("a")))
