@@ -131,8 +131,8 @@ FROM n a JOIN n b ON b.pos // 10 = a.pos // 10 AND a.pos % 2 = 0 AND b.pos % 2 =
 SQL["claims_cross_join"] = f"SELECT * FROM ({SQL['claims_cross_join']}) WHERE kind IS NOT NULL"
 
 # pairs of items of a cluster, ten items each
-on_items("items_conflicts")(lambda i: entities.item_conflicts(_said(i), i.select("pos", F.floor(c("pos") / 10).alias("cluster"))))
-SQL["items_conflicts"] = SQL["claims_cross_join"].replace('AS "group"', "AS cluster, a.pos AS pos_a, b.pos AS pos_b").replace("a.pos % 2 = 0 AND b.pos % 2 = 1", "a.pos < b.pos")
+on_items("cluster_conflicts")(lambda i: entities.item_conflicts(_said(i), i.select("pos", F.floor(c("pos") / 10).alias("cluster"))))
+SQL["cluster_conflicts"] = SQL["claims_cross_join"].replace('AS "group"', "AS cluster, a.pos AS pos_a, b.pos AS pos_b").replace("a.pos % 2 = 0 AND b.pos % 2 = 1", "a.pos < b.pos")
 
 # composed
 on_items("correlation_pipeline")(lambda i: views.correlated(marked(i), now()))
