@@ -221,6 +221,36 @@ def _meets(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> n
     return ((many > 1) & (np.bincount(of, weights=n > 1) > 0))[of]
 
 
+def _hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of ``length`` bytes of the text."""
+    inverse = _hashing()[2]
+    found = [np.zeros(0, np.uint64)]
+    for a in range(0, len(data) - length + 1, STEP):
+        to = min(a + STEP, len(data) - length + 1)
+        sums = _sums(data[a : to + length - 1])
+        found.append(_mix((sums[length:] - sums[:-length]) * inverse[: to - a]))
+    return np.concatenate(found)
+
+
+def _repeated(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of strings inside the pieces whose hash another of their strings
+    has: piece, first string (from the piece's start) and number of strings. Equal
+    strings have one hash, so a string outside the runs is found once."""
+    size = n + length - 1
+    h = _hashes(data[_ranges(start, size)], length)[_ranges(np.cumsum(size) - size, n)]
+    order = np.sort(h)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return (np.zeros(0, np.int64),) * 3
+    held = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+    piece, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    begins = held.copy()
+    begins[1:] &= ~held[:-1] | (piece[1:] != piece[:-1])
+    at = np.flatnonzero(begins)
+    many = np.add.reduceat(held.astype(np.int64), at)
+    return piece[at], at - first[piece[at]], many
+
+
 def _row(*values) -> pa.RecordBatch:
     names = ["chunk", "bucket", "a", "b", "c"][: len(values)]
     return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names)
@@ -274,9 +304,7 @@ def _shared(batch: pa.RecordBatch, i: int, buckets: int, length: int):
     np.minimum.at(key, same, ids[text])
     by = least[plain]
     if len(alone):
-        inverse = _hashing()[2]
-        strings = np.concatenate([_mix((sums[length:] - sums[:-length]) * inverse[: to - a]) for a in range(0, len(data) - length + 1, STEP) for to in [min(a + STEP, len(data) - length + 1)] for sums in [_sums(data[a : to + length - 1])]])
-        by = np.concatenate([by, strings[alone] >> np.uint64(16)])
+        by = np.concatenate([by, _hashes(data, length)[alone] >> np.uint64(16)])
     return ids, offsets, data, start, n, text, one, same, key, (by[one] % np.uint64(buckets)).astype(np.int64)
 
 
@@ -371,9 +399,12 @@ def _removed(docs: DataFrame, name: str, length: int, chunk: int, bucket: int, s
             np.minimum.at(least, same, key)
             meet = _meets(data, start[one], n[one], length)
             found = np.repeat(least, n[one])
-            if meet.any():
-                found[np.repeat(meet, n[one])] = least_keys(data, start[one[meet]], n[one[meet]], least[meet], length, shard)
             first = np.cumsum(n[one]) - n[one]
+            near = np.flatnonzero(meet)
+            piece, skip, many = _repeated(data, start[one[near]], n[one[near]], length)
+            if len(piece):
+                piece = near[piece]
+                found[_ranges(first[piece] + skip, many)] = least_keys(data, start[one[piece]] + skip, many, least[piece], length, shard)
             at = np.cumsum([0, *map(len, sizes)])
             for k, number in enumerate(numbers):
                 own = slice(at[k], at[k + 1])
