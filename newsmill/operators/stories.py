@@ -22,15 +22,32 @@ def lifecycle(hits: DataFrame, runs: DataFrame) -> DataFrame:
     return out.select("item_id", "hit", "miss", "streak", "first_seen", "last_seen", scores.story_status(F.col("hit"), F.col("miss")).alias("status"))
 
 
+#: Seconds of the longest look back of ``velocity``.
+DAY = 86400
+
+
 def velocity(snapshots: DataFrame) -> DataFrame:
     """Per snapshot (cluster, ts) the snapshots an hour over the last 15 minutes,
     hour and 6 hours, the baseline (the 23 hours before the last; 1 if none) and
-    whether two rates of three are over twice the baseline."""
-    own = W.partitionBy("cluster").orderBy(F.unix_seconds("ts"))
-    rate = lambda s: F.count("*").over(own.rangeBetween(-s, 0)) / (s / 3600)
-    earlier = F.count("*").over(own.rangeBetween(-86400, -3601))
-    base = F.when(earlier > 0, earlier / 23.0).otherwise(1.0)
-    out = snapshots.withColumns({"rate15m": rate(900), "rate1h": rate(3600), "rate6h": rate(21600), "baseline": base})
+    whether two rates of three are over twice the baseline. Snapshots without a
+    time count each other.
+
+    Snapshots are counted by second; the seconds are dealt by cluster and day, each
+    to its own day and the next, which looks back on it. A rate is the difference
+    of two running sums, so no frame is added up again for each row."""
+    own = snapshots.withColumn("_second", F.unix_seconds("ts"))
+    per = own.groupBy(F.col("cluster").alias("_cluster"), F.col("_second").alias("_at")).agg(F.count("*").alias("_n"))
+    day = F.floor(F.col("_at") / DAY)
+    dealt = per.withColumn("_own", day).withColumn("_day", F.explode(F.array(day, day + 1)))
+    upto = lambda s: F.coalesce(F.sum("_n").over(W.partitionBy("_cluster", "_day").orderBy("_at").rangeBetween(W.unboundedPreceding, s)), F.lit(0))
+    counted = dealt.select("_cluster", "_at", "_own", "_day", *((upto(0) - upto(-s - 1)).alias(f"_n{s}") for s in (900, 3600, 21600)), (upto(-3601) - upto(-DAY - 1)).alias("_earlier")).where("_own = _day").drop("_own", "_day")
+    # in windows over seconds a snapshot without a time meets the others without one
+    none = per.where("_at IS NULL").select("_cluster", "_at", *(F.col("_n").alias(k) for k in ("_n900", "_n3600", "_n21600", "_earlier")))
+    counted = counted.unionByName(none)
+    base = F.when(F.col("_earlier") > 0, F.col("_earlier") / 23.0).otherwise(1.0)
+    rates = {name: F.col(f"_n{s}") / (s / 3600) for name, s in (("rate15m", 900), ("rate1h", 3600), ("rate6h", 21600))}
+    met = own.join(counted, F.col("cluster").eqNullSafe(F.col("_cluster")) & F.col("_second").eqNullSafe(F.col("_at")), "left")
+    out = met.withColumns({**rates, "baseline": base}).select(*snapshots.columns, *rates, "baseline")
     over = sum((F.when(F.col(c) > 2 * F.col("baseline"), 1).otherwise(0) for c in ("rate15m", "rate1h", "rate6h")), F.lit(0))
     return out.withColumns({"spike": over >= 2, "trend": scores.trend(F.col("rate1h"))})
 
