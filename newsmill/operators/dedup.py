@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsmill.functions import scores
 from newsmill.functions import text as tx
+from newsmill.operators import similarity
 from newsmill.operators.staging import staged
 
 
@@ -60,32 +61,10 @@ def dedup_all_prefixes(items: DataFrame) -> DataFrame:
     return keep_first(items, [F.col("url"), tx.normalize_title_all(F.col("title"))])
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 512) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """``a, b, sim`` (a < b) of all vectors (pos, embedding) whose cosine, as a
-    float, is over the threshold. Vectors are dealt into blocks of about
-    ``block_rows``; a task multiplies two blocks as matrices."""
-    import numpy as np
-    import pandas as pd
-
-    vectors = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select("pos", "embedding")
-    n = max(1, -(-vectors.count() // block_rows))
-    own = vectors.withColumn("block", F.pmod(F.xxhash64("pos"), F.lit(n)))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("pos", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        i, j = pdf.i.iloc[0], pdf.j.iloc[0]
-        for size, same in pdf.groupby(pdf.embedding.map(len)):
-            m = np.array([np.asarray(x, np.float64) for x in same.embedding]).reshape(len(same), size)
-            norm = np.sqrt((m * m).sum(axis=1))
-            sim = np.divide(m @ m.T, norm[:, None] * norm[None, :], out=np.zeros((len(m), len(m))), where=(norm[:, None] * norm[None, :]) > 0).astype(np.float32)
-            p, b = same.pos.to_numpy(), same.block.to_numpy()
-            hit = (sim > np.float32(threshold)) & (p[:, None] < p[None, :]) & ((b[:, None] != b[None, :]) | (i == j))
-            x, y = np.nonzero(hit)
-            out.append(pd.DataFrame({"a": p[x], "b": p[y], "sim": sim[x, y]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sim": []})
-
-    return dealt.groupBy("i", "j").applyInPandas(multiply, "a bigint, b bigint, sim float")
+    float, is over the threshold."""
+    return similarity.pairs_over(vectors, threshold)
 
 
 def semantic_dedup(items: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -132,7 +111,7 @@ def chained_groups(vectors: DataFrame, threshold: float, near: int = 5) -> DataF
     (1 + cosine) / 2 reaches the threshold, and with it that one's group."""
     from pyspark.sql import Window as W
 
-    pairs = similar_pairs(vectors, 2 * threshold - 1 - 1e-6).where((1 + F.col("sim")) / 2 >= threshold)
+    pairs = similarity.nearest(vectors, 1, 2 * threshold - 1 - 1e-6).where((1 + F.col("sim")) / 2 >= threshold)
     best = pairs.withColumn("n", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a"))).where("n = 1")
     label = staged(vectors.select("pos").join(best.select(F.col("b").alias("pos"), F.col("a").alias("up")), "pos", "left").select("pos", F.coalesce("up", "pos").alias("root")))
     while True:
@@ -143,13 +122,13 @@ def chained_groups(vectors: DataFrame, threshold: float, near: int = 5) -> DataF
             return label
 
 
-def nearest_earlier(vectors: DataFrame, n: int = 5, threshold: float = -1.01) -> DataFrame:
-    """``pos, near, place``: the n most similar earlier vectors of each (pos,
-    embedding); ties: the earlier one."""
+def nearest_earlier(vectors: DataFrame, n: int = 5, threshold: float = -1.01, digits: int | None = None) -> DataFrame:
+    """``pos, near, place, sim``: the n most similar earlier vectors of each (pos,
+    embedding); ties, after rounding to ``digits`` if given: the earlier one."""
     from pyspark.sql import Window as W
 
-    pairs = similar_pairs(vectors, threshold)
-    ranked = pairs.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a")))
+    found = similarity.nearest(vectors, n, threshold, digits)
+    ranked = found.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("rank"), "a")))
     return ranked.where(F.col("place") <= n).select(F.col("b").alias("pos"), F.col("a").alias("near"), "place", "sim")
 
 

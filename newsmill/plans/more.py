@@ -133,7 +133,7 @@ on_items("project_convert_v4", "SELECT id, source_type, title, url, len(coalesce
 on_both("project_headline", f"SELECT id, round(coalesce(CASE WHEN vid IS NOT NULL THEN {SIM} END, 0.5)::DOUBLE, 5) AS semantic, 0.5::DOUBLE AS arousal FROM items LEFT JOIN vec ON vid = id")(lambda i, v: views.headlines(i, v, QUERY).select("id", F.round("factors.semantic", 5).alias("semantic"), c("factors.arousal").alias("arousal")))
 PAIRS = f"SELECT b.vid::BIGINT AS pos, a.vid::BIGINT AS near, CAST({DOT.format('a.embedding', 'b.embedding')} AS FLOAT) AS sim FROM vec a JOIN vec b ON a.vid::BIGINT < b.vid::BIGINT"
 placed = lambda v: v.select(c("id").cast("bigint").alias("pos"), "embedding")
-on_both("knn_join", f"SELECT pos, near, place FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(sim, 5) DESC, near) AS place FROM ({PAIRS})) WHERE place <= 5")(lambda i, v: (lambda p: p.withColumn("place", F.row_number().over(W.partitionBy("pos").orderBy(F.desc(F.round("sim", 5)), "near")).cast("bigint")).where("place <= 5").select("pos", "near", "place"))(dedup.nearest_earlier(placed(v), 8)))
+on_both("knn_join", f"SELECT pos, near, place FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(sim, 5) DESC, near) AS place FROM ({PAIRS})) WHERE place <= 5")(lambda i, v: dedup.nearest_earlier(placed(v), 5, digits=5).select("pos", "near", c("place").cast("bigint").alias("place")))
 on_items("join_categories", "SELECT id, CASE source_type WHEN 'en' THEN 'world' WHEN 'de' THEN 'europe' END AS category FROM items")(lambda i: i.join(F.broadcast(i.sparkSession.sql("SELECT * FROM VALUES ('en', 'world'), ('de', 'europe') AS t(source_type, category)")), "source_type", "left").select("id", "category"))
 on_items("join_source_patterns", "SELECT id, source_name = 'src1' AND regexp_matches(url, '/1[0-9]*$') AS fits FROM items")(lambda i: i.join(F.broadcast(i.sparkSession.createDataFrame([("src1", "/1[0-9]*$")], "source_name string, pattern string")), "source_name", "left").select("id", F.when(c("source_name").isNull(), None).otherwise(F.coalesce(F.expr("url rlike pattern"), F.lit(False))).alias("fits")))
 RANKED = "SELECT id, pos % 40 AS rank FROM items WHERE pos % 3 = 1"
