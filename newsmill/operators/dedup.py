@@ -68,8 +68,17 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def semantic_dedup(items: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    placed = items.select("id", "pos").join(vectors, "id").select("pos", "embedding")
-    return keep_first(items, [F.col("url")], similar_pairs(placed, threshold).select("a", "b"))
+    """``items`` without those whose url an earlier one that stays has, or that
+    are similar to one that stays."""
+    own = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").groupBy("id").agg(F.collect_list("embedding").alias("vectors"))
+    rows = items.select("id", "pos", F.nullif(F.col("url"), F.lit("")).alias("key")).join(own, "id", "left")
+    # a key that one row has conflicts with nothing
+    shared = items.groupBy(F.col("url").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("shared"))
+    none = F.array().cast(own.schema["vectors"].dataType)
+    rows = rows.join(shared, "key", "left").where("shared OR vectors IS NOT NULL").select(F.col("pos").cast("bigint").alias("pos"), F.when(F.col("shared"), F.col("key")).alias("key"), F.coalesce("vectors", none).alias("vectors"))
+    kept = similarity.first_wins_near(rows, threshold)
+    gone = rows.select("pos").join(kept, "pos", "left_anti")
+    return items.join(gone, "pos", "left_anti")
 
 
 def save_items(new: DataFrame, have: DataFrame) -> DataFrame:
