@@ -74,13 +74,31 @@ def tickers(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\$([A-Z]{1,5}(?:\.[A-Z])?)"), 1))
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that tries longer ones first and shares their starts."""
+    import re
+
+    by: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            by.setdefault(word[0], []).append(word[1:])
+    if not by:
+        return ""
+    inner = "(?:" + "|".join(re.escape(k) + _trie(rest) for k, rest in sorted(by.items())) + ")"
+    return inner + "?" if "" in words else inner
+
+
 def countries(c: Column) -> Column:
-    """Ids of the countries named as whole words, sorted."""
+    """Ids of the countries named as whole words, sorted. One pass finds the longest
+    name at the start of each word; names that it starts with count as well."""
     import re
 
+    names = sorted((word, key) for key, words in COUNTRIES.items() for word in words)
+    meant = {word: sorted({key for short, key in names if word == short or (word.startswith(short) and not re.match("[a-z0-9]", word[len(short)]))}) for word, _ in names}
+    known = F.create_map(*[x for word, keys in meant.items() for x in (F.lit(word), F.array(*map(F.lit, keys)))])
     low = F.lower(F.coalesce(c, F.lit("")))
-    found = [F.when(low.rlike("(?<![a-z0-9])(" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")(?![a-z0-9])"), key) for key, words in COUNTRIES.items()]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    found = F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?=({_trie(list(meant))})(?![a-z0-9]))"), 1)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(found), lambda x: F.element_at(known, x)))))
 
 
 def attribution(c: Column) -> Column:
