@@ -129,11 +129,12 @@ def extract_claims(items: DataFrame) -> DataFrame:
     """``pos, kind, text, value, speaker, confidence``: numbers, quotes,
     attributions, denials (attributions by "denied") and predictions of title and
     summary. Repeated claims keep a row each."""
+    # each text is searched once for a kind: the groups come from what was found, which splits in the same way alone
     text = F.concat_ws(" ", "title", "summary")
-    all_of = lambda kind, k: F.regexp_extract_all(text, F.lit(CLAIMS[kind]), k)
+    items = items.select("pos", *(F.regexp_extract_all(text, F.lit(p), 0).alias(kind) for kind, p in CLAIMS.items()))
     found = lambda kind, value, speaker, confidence: lambda x: F.struct(F.lit(kind).alias("kind"), x["0"].alias("text"), value(x).alias("value"), speaker(x).alias("speaker"), F.lit(confidence).alias("confidence"))
     nobody = lambda x: F.lit("")
-    zipped = lambda kind, n: F.arrays_zip(*[all_of(kind, k).alias(str(k)) for k in range(n + 1)])
+    zipped = lambda kind, n: F.transform(kind, lambda x: F.struct(x.alias("0"), *(F.regexp_extract(x, CLAIMS[kind], k).alias(str(k)) for k in range(1, n + 1))))
     said = zipped("attribution", 3)
     speaker = lambda x: F.regexp_replace(x["1"], r"^\s+|\s+$", "")
     claims = F.concat(
