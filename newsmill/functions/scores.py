@@ -26,6 +26,12 @@ def age_weeks(age_s: Column) -> Column:
     return F.when(age_s < 60, "now").when(age_s < 3600, F.concat(whole(60), F.lit("m"))).when(age_s < 86400, F.concat(whole(3600), F.lit("h"))).when(age_s < 604800, F.concat(whole(86400), F.lit("d"))).otherwise(F.concat(whole(604800), F.lit("w")))
 
 
+def round6(x: Column) -> Column:
+    """A number from 0 to about 1e9 with six decimals, ties up, without the decimal
+    text of each that F.round makes."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def tenths(x: Column) -> Column:
     """A number from 0 on with one decimal, rounded by its exact binary value, ties
     to even; ``format_string`` rounds the shortest decimal that names it. Ten times

@@ -22,33 +22,52 @@ def lifecycle(hits: DataFrame, runs: DataFrame) -> DataFrame:
     return out.select("item_id", "hit", "miss", "streak", "first_seen", "last_seen", scores.story_status(F.col("hit"), F.col("miss")).alias("status"))
 
 
-#: Seconds of the longest look back of ``velocity``.
 DAY = 86400
+#: Looks back, to so many seconds ago from so many (a day at most).
+RATES = {"rate15m": (900, 0), "rate1h": (3600, 0), "rate6h": (21600, 0)}
+BASELINE = {"baseline": (DAY, 3601)}
 
 
-def velocity(snapshots: DataFrame) -> DataFrame:
-    """Per snapshot (cluster, ts) the snapshots an hour over the last 15 minutes,
-    hour and 6 hours, the baseline (the 23 hours before the last; 1 if none) and
-    whether two rates of three are over twice the baseline. Snapshots without a
-    time count each other.
+def looked_back(snapshots: DataFrame, looks: dict[str, tuple[int, int]]) -> DataFrame:
+    """Snapshots (cluster, ts) with how many of their cluster each look back finds.
+    Snapshots without a time find each other.
 
     Snapshots are counted by second; the seconds are dealt by cluster and day, each
-    to its own day and the next, which looks back on it. A rate is the difference
-    of two running sums, so no frame is added up again for each row."""
+    to its own day and, if one that looks back so far meets it, the next. A count is
+    the difference of two running sums, so no frame is added up again for each row.
+    Seconds are looked up by hash: no snapshot is sorted."""
     own = snapshots.withColumn("_second", F.unix_seconds("ts"))
     per = own.groupBy(F.col("cluster").alias("_cluster"), F.col("_second").alias("_at")).agg(F.count("*").alias("_n"))
     day = F.floor(F.col("_at") / DAY)
-    dealt = per.withColumn("_own", day).withColumn("_day", F.explode(F.array(day, day + 1)))
+    late = F.col("_at") - day * DAY >= DAY - max(a for a, _ in looks.values())
+    dealt = per.withColumn("_own", day).withColumn("_day", F.explode(F.when(late, F.array(day, day + 1)).otherwise(F.array(day))))
     upto = lambda s: F.coalesce(F.sum("_n").over(W.partitionBy("_cluster", "_day").orderBy("_at").rangeBetween(W.unboundedPreceding, s)), F.lit(0))
-    counted = dealt.select("_cluster", "_at", "_own", "_day", *((upto(0) - upto(-s - 1)).alias(f"_n{s}") for s in (900, 3600, 21600)), (upto(-3601) - upto(-DAY - 1)).alias("_earlier")).where("_own = _day").drop("_own", "_day")
+    counted = dealt.select("_cluster", "_at", "_own", "_day", *((upto(-b) - upto(-a - 1)).alias(name) for name, (a, b) in looks.items())).where("_own = _day").drop("_own", "_day")
     # in windows over seconds a snapshot without a time meets the others without one
-    none = per.where("_at IS NULL").select("_cluster", "_at", *(F.col("_n").alias(k) for k in ("_n900", "_n3600", "_n21600", "_earlier")))
-    counted = counted.unionByName(none)
-    base = F.when(F.col("_earlier") > 0, F.col("_earlier") / 23.0).otherwise(1.0)
-    rates = {name: F.col(f"_n{s}") / (s / 3600) for name, s in (("rate15m", 900), ("rate1h", 3600), ("rate6h", 21600))}
-    met = own.join(counted, F.col("cluster").eqNullSafe(F.col("_cluster")) & F.col("_second").eqNullSafe(F.col("_at")), "left")
-    out = met.withColumns({**rates, "baseline": base}).select(*snapshots.columns, *rates, "baseline")
-    over = sum((F.when(F.col(c) > 2 * F.col("baseline"), 1).otherwise(0) for c in ("rate15m", "rate1h", "rate6h")), F.lit(0))
+    none = per.where("_at IS NULL").select("_cluster", "_at", *(F.col("_n").alias(name) for name in looks))
+    met = own.join(counted.unionByName(none).hint("shuffle_hash"), F.col("cluster").eqNullSafe(F.col("_cluster")) & F.col("_second").eqNullSafe(F.col("_at")), "left")
+    return met.select(*snapshots.columns, *looks)
+
+
+def hourly(looks: dict[str, tuple[int, int]]) -> dict:
+    """Counts of looks back as snapshots an hour; a baseline of none is 1."""
+    rate = {name: F.col(name) / (a / 3600) for name, (a, _) in looks.items() if name in RATES}
+    return rate | {name: F.when(F.col(name) > 0, F.col(name) / 23.0).otherwise(1.0) for name in looks if name in BASELINE}
+
+
+def rates(snapshots: DataFrame) -> DataFrame:
+    """Per snapshot (cluster, ts) the snapshots an hour over the last 15 minutes,
+    hour and 6 hours; they look back on a quarter of a day only."""
+    return looked_back(snapshots, RATES).withColumns(hourly(RATES))
+
+
+def velocity(snapshots: DataFrame) -> DataFrame:
+    """Per snapshot (cluster, ts) the rates of ``rates``, the baseline (the 23 hours
+    before the last; 1 if none) and whether two rates of three are over twice the
+    baseline."""
+    looks = RATES | BASELINE
+    out = looked_back(snapshots, looks).withColumns(hourly(looks))
+    over = sum((F.when(F.col(c) > 2 * F.col("baseline"), 1).otherwise(0) for c in RATES), F.lit(0))
     return out.withColumns({"spike": over >= 2, "trend": scores.trend(F.col("rate1h"))})
 
 
