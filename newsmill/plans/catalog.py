@@ -188,7 +188,7 @@ on_log("ring_snapshot", "SELECT seq FROM log ORDER BY seq DESC LIMIT 1024")(lamb
 on_log("event_filter", "SELECT seq FROM log WHERE starts_with(kind, 'si') AND level IN ('warn', 'error')")(lambda e: e.where(c("kind").startswith("si") & (F.when(c("level") == "debug", 0).when(c("level") == "info", 1).when(c("level") == "warn", 2).when(c("level") == "error", 3).otherwise(0) >= 2)).select("seq"))
 _V = "count(*) OVER (PARTITION BY kind ORDER BY epoch(date_trunc('second', t)) RANGE BETWEEN {} PRECEDING AND {})"
 on_log("velocity_rates", f"SELECT seq, round({_V.format(900, 'CURRENT ROW')} / 0.25, 6) AS r15, round({_V.format(3600, 'CURRENT ROW')} / 1.0, 6) AS r1, round({_V.format(21600, 'CURRENT ROW')} / 6.0, 6) AS r6 FROM log")(lambda e: stories.rates(e.select("seq", c("kind").alias("cluster"), c("t").alias("ts"))).select("seq", sc.round6(c("rate15m")).alias("r15"), sc.round6(c("rate1h")).alias("r1"), sc.round6(c("rate6h")).alias("r6")))
-on_log("velocity_baseline", f"SELECT seq, round(CASE WHEN n > 0 THEN n / 23.0 ELSE 1.0 END, 6) AS b FROM (SELECT seq, {_V.format(86400, '3601 PRECEDING')} AS n FROM log)")(lambda e: stories.velocity(e.select("seq", c("kind").alias("cluster"), c("t").alias("ts"))).select("seq", F.round("baseline", 6).alias("b")))
+on_log("velocity_baseline", f"SELECT seq, round(CASE WHEN n > 0 THEN n / 23.0 ELSE 1.0 END, 6) AS b FROM (SELECT seq, {_V.format(86400, '3601 PRECEDING')} AS n FROM log)")(lambda e: stories.velocity(e.select("seq", c("kind").alias("cluster"), c("t").alias("ts"))).select("seq", sc.round6(c("baseline")).alias("b")))
 on_log("consecutive_errors", "SELECT qid AS source, count_if(kind = 'error' AND (good IS NULL OR seq > good)) AS errors FROM (SELECT *, max(CASE WHEN kind <> 'error' THEN seq END) OVER (PARTITION BY qid) AS good FROM log) GROUP BY 1")(lambda e: stories.error_streaks(e.select(c("qid").alias("source"), c("seq").alias("at"), (c("kind") != "error").alias("ok"))))
 on_items("sort_chronological", "SELECT id FROM items ORDER BY published DESC, pos")(lambda i: ids(i.orderBy(F.desc("published"), "pos")))
 on_items("evict_oldest", "SELECT id FROM items ORDER BY coalesce(published, fetched) DESC, pos LIMIT 400")(lambda i: ids(i.orderBy(F.desc(F.coalesce("published", "fetched")), "pos").limit(400)))
