@@ -170,7 +170,7 @@ def window_states(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> d
     """Gates and states of a window: x, fresh: steps by streams."""
     steps, lanes = x.shape
     size = h.shape[1]
-    a = p["Wx"][x.ravel()]
+    a = np.take(p["Wx"], x.ravel(), axis=0)
     a += p["b"]
     a = a.reshape(steps, lanes, 3 * size)
     a[:, :, : 2 * size] *= np.float32(0.5)
@@ -204,16 +204,20 @@ def targets(model: Model, p: dict, h: np.ndarray, y: np.ndarray, grad: dict | No
     cls = model.cls[y]
     order = np.argsort(cls, kind="stable")
     cls = cls[order]
-    state = np.ones((h.shape[1] + 1, len(y)), np.float32)
-    state[:-1] = h[order].T
+    state = np.empty((h.shape[1] + 1, len(y)), np.float32)
+    state[:-1], state[-1] = np.take(h, order, axis=0).T, 1
     place, column = model.place[y[order]], np.arange(len(y))
+    ones = np.ones(max(model.n, model.classes), np.float32)
+    # no state is over 1, so no logit is over the sum of its weights
+    over = max(float(np.abs(p[k]).sum(axis=1).max(initial=0)) for k in ("Wc", "Ww")) > 0.999 * float(CAP)
 
     def softmax(weights, own, row):
         x = weights @ own
-        np.minimum(x, CAP, out=x)
+        if over:
+            np.minimum(x, CAP, out=x)
         picked = x[row, column[: len(row)]]
         np.exp(x, out=x)
-        total = x.sum(axis=0)
+        total = ones[: len(x)] @ x
         if grad is not None:
             x /= total
             x[row, column[: len(row)]] -= 1
@@ -263,24 +267,28 @@ def gradients(model: Model, p: dict, x: np.ndarray, y: np.ndarray, fresh: np.nda
     carry = np.zeros((lanes, size), np.float32)
     back = np.ascontiguousarray(p["U"].T)
     some = fresh.any(axis=1)
+    # the factors that don't hang on later steps, for all steps at once
+    z, r = np.ascontiguousarray(s["zr"][:, :, :size]), np.ascontiguousarray(s["zr"][:, :, size:])
+    n, rest = s["n"], 1 - z
+    by_z = s["before"] - n
+    by_z *= z
+    by_z *= rest
+    by_n = n * n
+    np.subtract(1, by_n, out=by_n)
+    by_n *= rest
+    by_r = np.subtract(1, r, out=rest)
+    by_r *= r
+    by_r *= s["q"]
     for t in range(steps - 1, -1, -1):
         d = dh[t]
         d += carry
-        z, r = s["zr"][t, :, :size], s["zr"][t, :, size:]
-        n, before = s["n"][t], s["before"][t]
-        dn = np.subtract(1, z, out=new[t])
-        dn *= d
-        dn *= 1 - n * n
-        dz = np.subtract(before, n, out=gate[t, :, :size])
-        dz *= d
-        dz *= z
-        dz *= 1 - z
-        dr = np.multiply(dn, s["q"][t], out=gate[t, :, size : 2 * size])
-        dr *= r
-        dr *= 1 - r
-        np.multiply(dn, r, out=gate[t, :, 2 * size :])
+        dn = np.multiply(d, by_n[t], out=new[t])
+        np.multiply(d, by_z[t], out=gate[t, :, :size])
+        np.multiply(dn, by_r[t], out=gate[t, :, size : 2 * size])
+        np.multiply(dn, r[t], out=gate[t, :, 2 * size :])
         carry = gate[t] @ back
-        carry += d * z
+        d *= z[t]
+        carry += d
         if some[t]:
             carry[fresh[t]] = 0
     gate = gate.reshape(-1, 3 * size)
