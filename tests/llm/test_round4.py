@@ -16,5 +16,5 @@ def test_logits_are_bounded_where_weights_may_pass_the_cap(monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(np, "minimum", None)
         assert (lm.score_texts(model, texts) == want).all()
-    model.parts()["Ww"][:] *= 1000
+    model.parts()["Ww"][:, -1] = 200
     assert np.isfinite(lm.score_texts(model, texts)).all()
