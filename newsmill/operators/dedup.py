@@ -120,7 +120,7 @@ def chained_groups(vectors: DataFrame, threshold: float, near: int = 5) -> DataF
     (1 + cosine) / 2 reaches the threshold, and with it that one's group."""
     from pyspark.sql import Window as W
 
-    pairs = similarity.nearest(vectors, 1, 2 * threshold - 1 - 1e-6).where((1 + F.col("sim")) / 2 >= threshold)
+    pairs = similarity.nearest(vectors, 1, 2 * threshold - 1 - 1e-6, write=True).where((1 + F.col("sim")) / 2 >= threshold)
     best = pairs.withColumn("n", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a"))).where("n = 1")
     label = staged(vectors.select("pos").join(best.select(F.col("b").alias("pos"), F.col("a").alias("up")), "pos", "left").select("pos", F.coalesce("up", "pos").alias("root")))
     while True:
