@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes the shuffle files of a query when it has ended, or some time after.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @functools.cache
 def _own_dir(application: str) -> str:
@@ -33,6 +36,19 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """As ``staged``, in a folder for each value of the columns ``by``; what was
+    shuffled to make df leaves the disk when it is written."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    had = spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(_FREE, had)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete what a loop staged at a path and doesn't need any more."""
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
