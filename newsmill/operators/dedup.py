@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsmill.functions import scores
 from newsmill.functions import text as tx
 from newsmill.operators import similarity
-from newsmill.operators.staging import staged
+from newsmill.operators.staging import drop, folder, staged, written
 
 
 def first_wins(keys: DataFrame) -> DataFrame:
@@ -117,15 +117,21 @@ def scores_hamming(a: str, b: str) -> Column:
 
 def chained_groups(vectors: DataFrame, threshold: float, near: int = 5) -> DataFrame:
     """``pos, root``: each vector joins its most similar earlier one if
-    (1 + cosine) / 2 reaches the threshold, and with it that one's group."""
+    (1 + cosine) / 2 reaches the threshold, and with it that one's group. What was
+    staged or shuffled leaves the disk when the next table is written from it."""
     from pyspark.sql import Window as W
 
-    pairs = similarity.nearest(vectors, 1, 2 * threshold - 1 - 1e-6, write=True).where((1 + F.col("sim")) / 2 >= threshold)
+    spark = vectors.sparkSession
+    found, path = folder(spark), folder(spark)
+    pairs = similarity.nearest(vectors, 1, 2 * threshold - 1 - 1e-6, write=found).where((1 + F.col("sim")) / 2 >= threshold)
     best = pairs.withColumn("n", F.row_number().over(W.partitionBy("b").orderBy(F.desc("sim"), "a"))).where("n = 1")
-    label = staged(vectors.select("pos").join(best.select(F.col("b").alias("pos"), F.col("a").alias("up")), "pos", "left").select("pos", F.coalesce("up", "pos").alias("root")))
+    label = written(vectors.select("pos").join(best.select(F.col("b").alias("pos"), F.col("a").alias("up")), "pos", "left").select("pos", F.coalesce("up", "pos").alias("root")), path)
+    drop(spark, found)
     while True:
         up = label.select(F.col("pos").alias("root"), F.col("root").alias("next"))
-        new = staged(label.join(up, "root").select("pos", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        old, path = path, folder(spark)
+        new = written(label.join(up, "root").select("pos", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), path)
+        drop(spark, old)
         label = new.select("pos", "root")
         if new.where("moved").isEmpty():
             return label

@@ -36,10 +36,10 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
-    """As ``staged``, in a folder for each value of the columns ``by``; what was
-    shuffled to make df leaves the disk when it is written."""
-    spark, path = df.sparkSession, folder(df.sparkSession)
+def written(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """df written to a path, in a folder for each value of the columns ``by``, and
+    read back; what was shuffled to make df leaves the disk when it is written."""
+    spark = df.sparkSession
     had = spark.conf.get(_FREE)
     spark.conf.set(_FREE, "true")
     try:
